@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import clusters, neighbours
+from gradeloom.llm import clusters, neighbours, packing, pairs, sampling, subjects, tokens
 from gradeloom.llm.space import read_metric, usable
 
 
@@ -42,6 +42,60 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(clusters.clusters(rows, metric), rows, metric)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_closeness": p1_closeness, "p2_found": p2_found, "p2_groups": p2_groups}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each defective entry of the two arrays with its kind of defect."""
+    return pairs.find(_table(spark, sf_dir, "all_contexts_questions_rubrics_correct_answers"))
+
+
+def _draw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return sampling.draw(_table(spark, sf_dir, "complete_generated_data"), _table(spark, sf_dir, "target_shares"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories with fewer rows than they need."""
+    return sampling.short_categories(_draw(spark, sf_dir)[1])
+
+
+def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample itself: qa_id, label, domain_name."""
+    return _draw(spark, sf_dir)[0]
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids."""
+    return tokens.encode(_table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be split in the assignment to containers."""
+    return packing.split_documents(p7_packing(spark, sf_dir))
+
+
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assignment: which part of which document goes into which container."""
+    return packing.assign(_table(spark, sf_dir, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of the assignment are."""
+    return packing.fill_report(p7_packing(spark, sf_dir))
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(*(_table(spark, sf_dir, t) for t in ("documents", "subject_areas", "subject_examples")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject of a document."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents treat each subject."""
+    return subjects.composition(_subjects(spark, sf_dir), _table(spark, sf_dir, "documents"))
+
+
+_NAMED = [p1_found, p1_closeness, p2_found, p2_groups, p4_found, p5_found, p5_sample, p6_ids, p7_found, p7_packing, p7_fill, p8_found, p8_composition]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 SQL: dict[str, str] = {}
