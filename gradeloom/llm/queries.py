@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import clusters, neighbours, packing, pairs, sampling, subjects, tokens
+from gradeloom.llm import clusters, neighbours, packing, pairs, sampling, scans, subjects, tokens
 from gradeloom.llm.space import read_metric, usable
 
 
@@ -42,6 +42,16 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.describe(clusters.clusters(rows, metric), rows, metric)
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, page numbers, divided and misread words of scanned pages."""
+    return scans.find(_table(spark, sf_dir, "all_contexts"))
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every context as continuous readable paragraphs."""
+    return scans.repaired(_table(spark, sf_dir, "all_contexts"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each defective entry of the two arrays with its kind of defect."""
     return pairs.find(_table(spark, sf_dir, "all_contexts_questions_rubrics_correct_answers"))
@@ -95,7 +105,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(_subjects(spark, sf_dir), _table(spark, sf_dir, "documents"))
 
 
-_NAMED = [p1_found, p1_closeness, p2_found, p2_groups, p4_found, p5_found, p5_sample, p6_ids, p7_found, p7_packing, p7_fill, p8_found, p8_composition]
+_NAMED = [p1_found, p1_closeness, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p5_found, p5_sample, p6_ids, p7_found, p7_packing, p7_fill, p8_found, p8_composition]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 SQL: dict[str, str] = {}

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.pairs import language
+from gradeloom.llm.pairs import FUNCTION_WORDS, language
 from gradeloom.llm.tokens import one_row_each
-from gradeloom.storage import written
+from gradeloom.storage import task_count, written
 
 LINE = re.compile(r"\r\n|\r|\n|\x0b|\x0c|\x85| | ")
 HYPHENS = "-‐‑­¬"
@@ -27,6 +29,8 @@ CLOSED = re.compile(r"[.!?…][\"”’»')\]]*$")
 TOKEN = re.compile(r"\S+")
 EDGE = re.compile(r"^[^\w†]+|[^\w†]+$")
 LETTER = re.compile(r"[^\W\d_]")
+#: Words that a heading doesn't end with.
+BINDING = {w for each in FUNCTION_WORDS.values() for w in each if not w.isdigit()} - {"not", "no", "it", "them", "out", "how", "why"}
 
 
 def bare(token: str) -> str:
@@ -100,6 +104,8 @@ class Page:
                 slack = width - length[i] - 1 - (first[follows] if follows is not None else 0)
                 split = n > 0 and BROKEN.search(lines[natural[n - 1]].strip()) and body[:1].isupper()
                 caps = self._capitals(body)
+                if not caps and self._sentence(body, lines[natural[n - 1]].strip() if n else "", lines[follows].strip() if follows is not None else ""):
+                    continue
                 if follows is None:
                     found = beside or caps or n > 0 and len(natural) > 2
                 else:
@@ -137,6 +143,13 @@ class Page:
         spaced = sum(len(w) == 1 for w in words) * 2 > len(words)
         return (len(words) <= 9 or spaced) and not body[0].islower() and body[0] not in "\"“«("
 
+    def _sentence(self, body: str, before: str, follows: str) -> bool:
+        """The line begins a sentence that goes on below, or breaks off as no heading does."""
+        if "," in body or read(body.split()[-1]) in BINDING:
+            return True
+        goes_on = (not before or CLOSED.search(before)) and follows[:1].islower()
+        return bool(goes_on) and sum(x.strip() == body for x in self.lines) < 2
+
     @staticmethod
     def _capitals(body: str) -> bool:
         letters = LETTER.findall(body)
@@ -177,3 +190,236 @@ class Page:
                 found[-1] = (found[-1][0] + found[-1][2], "", "")
             out.append(found)
         return out
+
+
+#: What scanning makes of letters: the sign as read and what it should be. Signs that no word has by itself.
+SIGNS = [
+    ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"),
+    ("†", "t"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("$", "s"), ("@", "a"), ("€", "e"), ("ı", "i"), ("ſ", "s"),
+]
+#: Letters read as other letters.
+LETTERS = [
+    ("c", "e"), ("e", "c"), ("cl", "d"), ("li", "h"), ("vv", "w"), ("rn", "m"), ("ri", "n"), ("ii", "n"), ("ii", "u"), ("ni", "m"), ("in", "m"), ("nn", "m"),
+    ("u", "n"), ("n", "u"), ("h", "b"), ("b", "h"), ("l", "i"), ("i", "l"), ("f", "s"), ("f", "t"), ("t", "f"), ("o", "c"), ("c", "o"), ("m", "rn"), ("d", "cl"), ("h", "li"),
+    *((x, unicodedata.normalize("NFD", x)[0]) for x in "ãåāēìīòõōūýčšž"),
+]
+#: Letters of French, Spanish and German that an English page doesn't have.
+ACCENTS = [(x, unicodedata.normalize("NFD", x)[0]) for x in "áàâäéèêëíîïóôöúùûüÿñç"]
+CONFUSIONS = SIGNS + LETTERS + ACCENTS
+SIGN_CHARS = frozenset(a for a, _ in SIGNS)
+#: Confusions that one word may hold, and how often the right word must be there for each time that the misread one is.
+MOST, RATIO, ENOUGH = 2, 8, 4
+LEAD = re.compile(r"^[^\w†!|$@]*([!|$@](?=[^\W\d_])\S*)$")
+
+
+def read(token: str) -> str:
+    """:func:`bare`, but a sign that stands for a first letter stays: "!t" may be "it"."""
+    m = LEAD.match(token)
+    return m.group(1)[0] + bare(m.group(1)[1:]) if m else bare(token)
+
+
+def anagram(word: str) -> int:
+    """A number that is the same for words of the same letters, and adds up over them; 64 bits with sign."""
+    return _signed(sum(ord(x) ** 5 for x in word))
+
+
+def _signed(n: int) -> int:
+    return ((n + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
+
+
+_SHIFT = [(a, sum(ord(x) ** 5 for x in b) - sum(ord(x) ** 5 for x in a)) for a, b in CONFUSIONS]
+
+
+def targets(word: str) -> dict[int, int]:
+    """The anagram numbers that up to MOST different confusions in the word lead to, with how many these are.
+
+    One confusion may have struck up to three times.
+    """
+    base = sum(ord(x) ** 5 for x in word)
+    here = [(i, k * d) for i, (a, d) in enumerate(_SHIFT) if a in word for k in range(1, min(word.count(a), 3) + 1)]
+    out: dict[int, int] = {}
+    for n in range(1, MOST + 1):
+        for each in combinations(here, n):
+            if len({i for i, _ in each}) == n:
+                out.setdefault(_signed(base + sum(d for _, d in each)), n)
+    return out
+
+
+def replaced(word: str, right: str) -> tuple[int, int, int] | None:
+    """(signs, letters, accents) replaced where confusions in place turn ``word`` into ``right``; None where they don't."""
+    live: dict[tuple[int, int], tuple[int, int, int]] = {(0, 0): (0, 0, 0)}
+    groups = [(a, b, g) for g, each in enumerate((SIGNS, LETTERS, ACCENTS)) for a, b in each]
+    best = None
+    while live:
+        after: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for (i, j), cost in live.items():
+            if i == len(word) and j == len(right):
+                best = min(best, cost, key=lambda c: (sum(c), c)) if best else cost
+                continue
+            steps = [(i + 1, j + 1, cost)] if i < len(word) and j < len(right) and word[i] == right[j] else []
+            steps += [(i + len(a), j + len(b), tuple(c + (k == g) for k, c in enumerate(cost))) for a, b, g in groups if word.startswith(a, i) and right.startswith(b, j)]
+            for p, q, c in steps:
+                if sum(c) <= 4 and ((p, q) not in after or (sum(c), c) < (sum(after[p, q]), after[p, q])):
+                    after[p, q] = c
+        live = after
+    return best
+
+
+def lines_and_words(contexts: DataFrame) -> DataFrame:
+    """context_id, kind, item, hyphened, n, english, clean (no printed page): headings, page numbers, words with their number, divided words."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for key, text in zip(batch["context_id"].to_pylist(), batch["context"].to_pylist(), strict=True):
+                page = Page(text)
+                found: Counter = Counter()
+                plain: list[str] = []
+                for i, kind in enumerate(page.kind):
+                    if kind in ("header", "pageno"):
+                        found[kind, page.lines[i].strip(), None] += 1
+                for run in page.tokens():
+                    for left, sign, right in run:
+                        word = read(left + right)
+                        if LETTER.search(word):
+                            found["hyphen" if sign else "word", word, read(left + "-" + right) if sign else None] += 1
+                            plain.append(word)
+                english = language(plain) in ("en", None)
+                out += [(key, *k, n, english, not page.wrapped) for k, n in found.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["context_id", "kind", "item", "hyphened", "n", "english", "clean"])
+
+    rows = one_row_each(contexts.select(F.col("context_id").cast("bigint").alias("context_id"), "context"), "context_id").where("context IS NOT NULL")
+    return rows.mapInArrow(run, "context_id bigint, kind string, item string, hyphened string, n bigint, english boolean, clean boolean")
+
+
+def corrections(found: DataFrame) -> DataFrame:
+    """word, right_word, accents: the best reading of each misread word of the corpus.
+
+    A word of which a tenth or more stands in texts that aren't printed pages is a right one. A word is rare beside another if the other is there at least RATIO times as often (with signs that words
+    don't have: at least as often). Rare words meet these where the difference of their anagram numbers is
+    that of a few confusions; what the confusions don't give in place is left out, and the rest is ranked by
+    the number of confusions, then by count.
+    """
+    whole = found.where("kind = 'word'").select(F.col("item").alias("word"), "n", F.when(F.col("clean"), F.col("n")).otherwise(0).alias("clean"))
+    divided = found.where("kind = 'hyphen'").select(F.explode(F.array("item", "hyphened")).alias("word"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("clean"))
+    counts, _ = written(whole.unionByName(divided).groupBy("word").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean")))
+
+    def numbers(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.array([anagram(w) for w in batch["word"].to_pylist()], pa.int64())], ["right_word", "right_n", "number"])
+
+    def reach(batches):
+        for batch in batches:
+            out = [(w, n, t) for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True) for t in targets(w)]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["word", "n", "number"])
+
+    def judge(batches):
+        for batch in batches:
+            rows = []
+            for w, n, r, m in zip(*(batch[c].to_pylist() for c in ("word", "n", "right_word", "right_n")), strict=True):
+                cost = replaced(w, r)
+                if cost and sum(cost) and (not cost[1] and not cost[2] or m >= RATIO * n):
+                    rows.append((w, r, m, sum(cost) + cost[1], cost[2]))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "right_word", "right_n", "cost", "accents"])
+
+    strange = "[" + "".join(re.escape(x) for x in sorted(SIGN_CHARS)) + "]"
+    frequent = counts.where((F.col("n") >= 1) & ~F.col("word").rlike(strange)).select("word", "n").mapInArrow(numbers, "right_word string, right_n bigint, number bigint")
+    suspect = counts.where((F.length("word").between(2, 40)) & ((F.col("clean") == 0) | (F.col("clean") * 10 < F.col("n"))))
+    rare = suspect.select("word", "n").repartition(task_count(found.sparkSession)).mapInArrow(reach, "word string, n bigint, number bigint")
+    met = rare.join(frequent, "number").where((F.col("right_n") >= F.col("n")) & (F.col("word").rlike(strange) | (F.col("right_n") >= F.greatest(F.col("n") * RATIO, F.lit(ENOUGH)))))
+    judged = met.select("word", "n", "right_word", "right_n").distinct().mapInArrow(judge, "word string, right_word string, right_n bigint, cost int, accents int")
+    rank = F.expr("row_number() OVER (PARTITION BY word ORDER BY cost, right_n DESC, right_word)")
+    best, _ = written(judged.withColumn("r", rank).where("r = 1").select("word", "right_word", "accents"))
+    # One sign amid at least four letters is misread even where the corpus has the right word nowhere else.
+    first = dict(reversed(SIGNS))
+    letters, signs = F.regexp_replace("word", r"[^\p{L}]", ""), F.regexp_replace("word", strange.replace("[", "[^", 1), "")
+    alone = suspect.where((F.length(letters) >= 4) & (F.length(signs) == 1)).join(best, "word", "left_anti")
+    return best.unionByName(alone.select("word", F.translate("word", "".join(first), "".join(first.values())).alias("right_word"), F.lit(0).alias("accents")))
+
+
+def _evidence(found: DataFrame) -> DataFrame:
+    """context_id, joined, as_read: each divided word as it reads, with its hyphen only if the corpus has it so more often."""
+    counts = found.where("kind = 'word'").groupBy("item").agg(F.sum("n").alias("n"))
+    cut = found.where("kind = 'hyphen'").select("context_id", "english", F.col("item").alias("joined"), "hyphened")
+    for column in ("joined", "hyphened"):
+        cut = cut.join(counts.select(F.col("item").alias(column), F.col("n").alias(f"{column}_n")), column, "left")
+    more = F.coalesce("hyphened_n", F.lit(0)) > F.coalesce("joined_n", F.lit(0))
+    return cut.select("context_id", "english", "joined", F.when(more, F.col("hyphened")).otherwise(F.col("joined")).alias("as_read"))
+
+
+def _solved(contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines and words, the misread words of each context, and its divided words as they should read."""
+    found, _ = written(lines_and_words(contexts))
+    fixed, _ = written(corrections(found))
+    divided = _evidence(found)
+    allowed = "accents = 0 OR english"
+    both = found.where("kind = 'word'").select("context_id", "english", F.col("item").alias("word")).unionByName(divided.select("context_id", "english", F.col("as_read").alias("word")))
+    misread, _ = written(both.join(fixed, "word").where(allowed).select("context_id", "word", "right_word").distinct())
+    whole = divided.join(fixed.withColumnRenamed("word", "as_read"), "as_read", "left").select("context_id", "joined", F.when(F.expr(allowed), F.col("right_word")).alias("right_word"), "as_read")
+    return found, misread, whole.select("context_id", "joined", F.coalesce("right_word", "as_read").alias("whole"))
+
+
+def find(contexts: DataFrame) -> DataFrame:
+    """context_id, noise, item: headings, page numbers, divided words and misread words of every context.
+
+    Null contexts and rows without an id give nothing; repeats of a row count once.
+    """
+    found, misread, whole = _solved(contexts)
+    lines = found.where("kind IN ('header', 'pageno')").select("context_id", F.col("kind").alias("noise"), "item")
+    hyphens = whole.select("context_id", F.lit("hyphen").alias("noise"), F.col("whole").alias("item"))
+    ocr = misread.select("context_id", F.lit("ocr").alias("noise"), F.col("right_word").alias("item"))
+    return lines.unionByName(hyphens).unionByName(ocr).distinct()
+
+
+def _like(right: str, token: str) -> str:
+    """The right word with the capitals of the token."""
+    letters = [x for x in token if x.isalpha()]
+    if len(letters) > 1 and all(x.isupper() for x in letters):
+        return right.upper()
+    return right[:1].upper() + right[1:] if letters and token.strip("\"“„«([¿¡'‘")[:1].isupper() else right
+
+
+def _put(token: str, word: str, right: str) -> str:
+    at = token.lower().replace("’", "'").find(word)
+    return token if at < 0 else token[:at] + _like(right, token[at : at + len(word)]) + token[at + len(word) :]
+
+
+def repair(text: str, misread: dict[str, str], whole: dict[str, str]) -> str:
+    """The text as continuous paragraphs, a blank line between them; a text that isn't a printed page keeps its lines."""
+    page = Page(text)
+    fix = lambda t: _put(t, w, misread[w]) if (w := read(t)) in misread else t
+    if not page.wrapped:
+        return TOKEN.sub(lambda m: fix(m.group()), text)
+    out = []
+    for run in page.tokens():
+        line = []
+        for left, sign, right in run:
+            token = left + right
+            line.append(_put(token, w, whole[w]) if sign and (w := read(token)) in whole else fix(token))
+        out.append(" ".join(line))
+    return "\n\n".join(x for x in out if x)
+
+
+def repaired(contexts: DataFrame) -> DataFrame:
+    """context_id, context: every context as continuous readable paragraphs; null stays null."""
+    _, misread, whole = _solved(contexts)
+    pairs = misread.select("context_id", F.lit(0).alias("k"), F.col("word").alias("a"), F.col("right_word").alias("b")).unionByName(whole.select("context_id", F.lit(1).alias("k"), F.col("joined").alias("a"), F.col("whole").alias("b")))
+    known = pairs.groupBy("context_id").agg(F.collect_list(F.struct("k", "a", "b")).alias("known"))
+    rows = one_row_each(contexts.select(F.col("context_id").cast("bigint").alias("context_id"), "context"), "context_id").join(known, "context_id", "left")
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for text, each in zip(batch["context"].to_pylist(), batch["known"].to_pylist(), strict=True):
+                by: tuple[dict, dict] = ({}, {})
+                for x in each or ():
+                    by[x["k"]][x["a"]] = x["b"]
+                texts.append(None if text is None else repair(text, *by))
+            yield pa.RecordBatch.from_arrays([batch["context_id"], pa.array(texts, pa.string())], ["context_id", "context"])
+
+    return rows.mapInArrow(run, "context_id bigint, context string")
