@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from gradeloom.plans import features
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**features.QUERIES}
+SQL: dict[str, str] = {**features.SQL}

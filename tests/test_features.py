@@ -1,0 +1,28 @@
+import duckdb
+import pytest
+
+import __spark_entry__ as e
+from gradeloom.plans import features
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_entry_gives_rows(spark):
+    assert e.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", features.SQL)
+def test_query_equals_its_sql(spark, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW complete_generated_data AS SELECT * FROM read_parquet('{SMALL}/complete_generated_data.parquet')")
+    want = db.execute(e.oracle_sql()[name]).fetchall()
+    got = e.queries()[name](spark, SMALL)
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(tuple, got.collect()), key=key) == [pytest.approx(r, abs=2e-6) for r in sorted(want, key=key)]
+
+
+@pytest.mark.parametrize("name, want", [("jaccard", 0.0), ("recall", 0.0), ("precision", 0.0), ("conditional", 1.0)])
+def test_empty_sets(spark, name, want):
+    x = features.FORMULAS[name].format(**features._SPARK)
+    row = spark.sql(f"SELECT {x} AS x FROM (SELECT CAST(array() AS ARRAY<STRING>) AS s1, CAST(array() AS ARRAY<STRING>) AS s2, CAST(array() AS ARRAY<STRING>) AS s3)").first()
+    assert row.x == want
