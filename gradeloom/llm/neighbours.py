@@ -15,7 +15,8 @@ from gradeloom.storage import written
 #: More copies of one vector than this in a batch are gathered before the shuffle.
 HOT = 8
 PAIRS_AT_ONCE = 1 << 20
-SLACK = 5e-4
+#: Added to the windows for the rounding of projections, and as much again for each unit of a row's own largest projection.
+SLACK, ROUNDING = 5e-4, 4 * float(np.finfo(np.float32).eps)
 
 
 def distances(metric: Metric, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -62,15 +63,18 @@ def window_search(metric: Metric, k: int, zq, xq, iq, rq, zb, xb, ib, levels, pr
         return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
     axes = np.argsort(-(np.quantile(zb, 0.9, axis=0) - np.quantile(zb, 0.1, axis=0)), kind="stable")[:m]
     order = np.argsort(zb[:, axes[0]], kind="stable")
-    pb = np.ascontiguousarray(zb[order][:, axes].T.astype(np.float32))
+    far = max(np.abs(zb).max(), np.abs(zq).max())
+    kind, wide = (np.float32, ROUNDING) if far < 1e30 else (np.float64, ROUNDING * 1e-6)
+    pb = np.ascontiguousarray(zb[order][:, axes].T.astype(kind))
     xb, ib = xb[order], ib[order]
-    pq = zq[:, axes].astype(np.float32)
+    pq = zq[:, axes].astype(kind)
+    slack = SLACK + wide * np.abs(zq[:, axes]).max(axis=1)
     found = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))]
     todo = np.argsort(pq[:, 0], kind="stable")
     for level in levels:
         if not len(todo):
             break
-        radius = np.minimum(level, rq).astype(np.float32) + np.float32(SLACK)
+        radius = (np.minimum(level, rq) + slack).astype(kind)
         lo = np.searchsorted(pb[0], pq[todo, 0] - radius[todo], "left")
         hi = np.searchsorted(pb[0], pq[todo, 0] + radius[todo], "right")
         got, i = [], 0
