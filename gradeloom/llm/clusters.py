@@ -1,4 +1,4 @@
-"""Problem 2: groups of mutually similar vectors by a density grid and minimum labels."""
+"""Problem 2: groups of mutually similar vectors by leaves of a projection tree, exact links and minimum labels."""
 
 from __future__ import annotations
 
