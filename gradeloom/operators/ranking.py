@@ -49,6 +49,17 @@ def shuffled(key: str | Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))
 
 
+def present(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have each of the columns, neither null nor NaN.
+
+    One condition for each column: a single one over all of them, as ``dropna`` gives, makes the optimizer
+    derive a constraint for each subset of columns that are renamed later.
+    """
+    for c in columns:
+        rows = rows.where(F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`").cast("double")))
+    return rows
+
+
 def long_form(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
     """(keep..., feature, x): one row for each listed column; NaN becomes null, and nulls give no row."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias("x")) for c in columns)))

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.plans import features
+from gradeloom.plans import features, profile
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**features.QUERIES}
-SQL: dict[str, str] = {**features.SQL}
+_MODULES = (features, profile)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

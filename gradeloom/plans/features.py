@@ -58,11 +58,11 @@ def profile(values: DataFrame, x: str) -> DataFrame:
     means = rows.groupBy("label").agg(F.round(F.avg(x), 6).alias("mean"))
     p = percentiles(rows.select("label", F.col(f"`{x}`").alias("x")), ["label"], [0.25, 0.5, 0.75])
     got = means.withColumnRenamed("label", "l").join(p, F.col("l").eqNullSafe(F.col("label")))
-    return got.select("label", "n", "mean", *(F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p25", "p50", "p75"))))
+    return got.select("label", "n", "mean", *(F.round(F.col("p")[i], 9).alias(c) for i, c in enumerate(("p25", "p50", "p75"))))
 
 
 def profile_sql(rows: str) -> str:
-    quartiles = ", ".join(f"round(quantile_cont(x, 0.{p}), 6) AS p{p}" for p in (25, 50, 75))
+    quartiles = ", ".join(f"round(quantile_cont(x, 0.{p}), 9) AS p{p}" for p in (25, 50, 75))
     return f"SELECT label, count(*) AS n, round(avg(x), 6) AS mean, {quartiles} FROM ({rows}) GROUP BY label"
 
 

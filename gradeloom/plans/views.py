@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions.paths import domain_of
+from gradeloom.operators.ranking import present
 
 LABELS = (0, 1, 2)
 #: The text fields of a graded answer by their short names.
@@ -71,7 +72,7 @@ IS_REFERENCE = "qa_id % 4 = 1"
 
 def complete(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows with all the named features: distances need each of them."""
-    return rows.dropna(subset=names)
+    return present(rows, names)
 
 
 def complete_sql(names: list[str] | None = None) -> str:
