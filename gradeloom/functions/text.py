@@ -115,13 +115,13 @@ def sentences(text: Column, abbreviations: list[str] | None = None) -> Column:
     """
     listed = ABBREVIATIONS if abbreviations is None else abbreviations
     guard = "".join(rf"(?<!\b{a})" for a in listed) + (r"(?<!\b[A-Z])" if listed else "")
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), rf"{guard}({CLOSERS})\s+(?=[A-Z0-9])", "$1\u0001"), "\u0001")
-    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")), lambda s: s != "")
+    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), rf"{guard}({CLOSERS}){SPACE}(?=[A-Z0-9])", "$1\u0001"), "\u0001")
+    return F.filter(F.transform(cut, lambda s: F.regexp_replace(s, rf"^{SPACE}|{SPACE}$", "")), lambda s: s != "")
 
 
 def words_of(text: Column) -> Column:
     """How many words, parted by white space, a text has."""
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, SPACE), lambda w: w != ""))
 
 
 def chunks(parts: Column, key: Column, low: int = 150, high: int = 800, keep_empty: bool = False) -> Column:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.plans import features, profile, relevance
+from gradeloom.plans import evaluate, features, generate, profile, relevance
 
-_MODULES = (features, profile, relevance)
+_MODULES = (features, profile, relevance, evaluate, generate)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
