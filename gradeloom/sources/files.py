@@ -19,7 +19,7 @@ def fileid_of(path: Column, root: str = "", prefix: str = "devset/") -> Column:
 def read_texts(spark: SparkSession, *globs: str, root: str = "", encoding: str = "utf-8") -> DataFrame:
     """fileid, text: each file of the globs as one row. A file that several globs name stands there once."""
     path = F.col("_metadata.file_path")
-    files = spark.read.option("wholetext", "true").option("encoding", encoding).text(list(globs)).select(path.alias("path"), F.col("value").alias("text"))
+    files = spark.read.option("encoding", encoding).text(list(globs), wholetext=True).select(path.alias("path"), F.col("value").alias("text"))
     return files.select(fileid_of(F.col("path"), root).alias("fileid"), "text")
 
 
@@ -38,7 +38,7 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructTy
 
 def read_json_object(spark: SparkSession, path: str, value: str = "double") -> DataFrame:
     """key, value of a file that holds one JSON object, such as weights by feature."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("key", "value"))
 
 
@@ -50,7 +50,7 @@ def read_runs(spark: SparkSession, arms: dict[str, str]) -> DataFrame:
     out = None
     for arm, folder in arms.items():
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        files = spark.read.option("wholetext", "true").text(folder).select(name.alias("file"), F.from_json("value", "array<double>").alias("a"))
+        files = spark.read.text(folder, wholetext=True).select(name.alias("file"), F.from_json("value", "array<double>").alias("a"))
         run = files.select("file").withColumn("run", F.expr("row_number() OVER (ORDER BY file) - 1"))
         each = files.join(F.broadcast(run), "file").select(F.lit(arm).alias("arm"), "run", F.posexplode("a").alias("pos", "acc"))
         out = each if out is None else out.unionByName(each)
