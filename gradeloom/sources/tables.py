@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def latex_row(name: Column, values: list[Column], decimals: int = 3) -> Column:
     """A row of a LaTeX table: underscores of the name as blanks, a leading 'input/' left off, numbers to three decimals."""
     text = F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), "input/", "")
-    return F.concat(text, *(F.concat(F.lit(" & "), F.coalesce(F.format_string(f"%.{decimals}f", v), F.lit(""))) for v in values), F.lit(" \\\\"))
+    return F.concat(text, *(F.concat(F.lit(" & "), F.when(v.isNotNull(), F.format_string(f"%.{decimals}f", v)).otherwise("")) for v in values), F.lit(" \\\\"))
 
 
 def latex_table(lines: DataFrame, header: list[str], limit: int = 1000) -> str:
