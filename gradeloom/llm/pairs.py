@@ -28,18 +28,56 @@ FUNCTION_WORDS = {
     "es": "el la los las un una unos unas y e o pero no es son era eran ha han había al del de en con sin por para que quien cuando donde como si este esta estos estas su sus se lo le les muy más todo todos toda porque qué cuál tras desde hasta a pesar dice ya también ni hay aquí".split(),
 }
 
-# Phrases by which a speaker declines, word by word; * stands for up to three words.
-REFUSALS = [
-    "i cannot VERB", "i can't VERB", "i can not VERB", "i am unable to VERB", "i'm unable to VERB", "i am not able to VERB", "i'm not able to VERB", "i won't be able to VERB", "i will not be able to VERB",
-    "i won't VERB", "i will not VERB", "i must decline", "i have to decline", "i decline to", "i'd rather not", "i would rather not", "i'd prefer not", "i would prefer not", "i prefer not",
-    "not possible for me to VERB", "impossible for me to VERB", "prefer to leave this", "do not allow me to", "don't allow me to", "not allowed to VERB", "i don't discuss", "i do not discuss", "what i can discuss",
-    "let us talk about something else", "let's talk about something else", "no answer can be given", "assistant declined", "ask your teacher", "against my guidelines", "i have no access to", "was not shared with me",
-    "we cannot VERB", "we are unable to VERB",
-    "ich kann * nicht VERB", "ich kann leider", "ich darf * nicht VERB", "ich darf * nichts VERB", "darf ich * nichts VERB", "ich muss * ablehnen", "muss ich * ablehnen", "ich kann * nichts VERB", "kann ich * nichts VERB", "ich möchte * nicht VERB", "ich bin nicht in der lage", "kann ich * nicht VERB", "kann ich leider", "darf ich * nicht VERB", "möchte ich * nicht VERB", "bin ich nicht in der lage",
-    "je ne peux pas", "je ne peux malheureusement pas", "je ne suis pas en mesure", "je ne saurais", "il m'est impossible", "je refuse de", "je dois refuser", "je dois décliner", "je préfère ne pas", "je ne suis pas autorisé",
-    "no puedo VERB", "no me es posible", "me resulta imposible", "me es imposible", "debo declinar", "debo rechazar", "tengo que declinar", "debo negarme", "no estoy en condiciones", "no soy capaz de", "prefiero no", "no se me permite", "no me está permitido",
+#: Word classes of a refusal; a speaker, what keeps it from answering, and a verb of answering make one, in each language.
+CLASSES = {
+    "I": "i we",
+    "CANNOT": "cannot can't couldn't won't wouldn't shan't mustn't mayn't",
+    "MODAL": "can could will would shall may must",
+    "AM": "am are be was i'm we're",
+    "UNABLE": "unable unwilling forbidden prohibited barred prevented",
+    "ABLE": "able allowed permitted authorised authorized supposed willing ready going prepared free programmed designed meant",
+    "BOT": "assistant model system bot chatbot author machine program",
+    "DECLINE": "decline refuse abstain refrain pass declined refused abstained refrained declines refuses",
+    "MUST": "must should shall will i'll we'll have need has had",
+    "RATHER": "rather prefer i'd we'd",
+    "SPEAK": "answer respond reply help provide comment discuss grade assist offer give share say fulfil fulfill complete evaluate tell talk speak explain address handle process judge advise engage continue elaborate",
+    "ANSWER": "answer reply response comment statement help assistance information",
+    "GIVEN": "given provided offered made possible available supplied",
+    "ALLOW": "allow permit let enable",
+    "RULES": "instructions guidelines rules policy policies guideline instruction principles settings programming restrictions",
+    "FORBID": "forbid prohibit prevent exclude bar stop",
+    "OUTSIDE": "outside beyond against",
+    "LEAVE": "leave skip pass avoid drop",
+    "ASK": "ask consult contact see",
+    "EXPERT": "teacher tutor instructor expert professional specialist doctor lawyer human",
+    "REQUEST": "request question topic subject task matter",
+    "MY": "my our your",
+    "NOT": "not never",
+    "KANN": "kann darf möchte will werde könnte dürfte können dürfen möchten",
+    "NICHT": "nicht nichts leider keine keinen kein",
+    "MUSS": "muss müssen musste sollte",
+    "ABLEHNEN": "ablehnen verweigern zurückweisen passen absehen verzichten",
+    "SAGEN": "beantworten antworten helfen geben sagen kommentieren weiterhelfen bewerten äußern besprechen eingehen bearbeiten mitteilen liefern erteilen",
+    "PEUX": "peux puis pourrai pourrais souhaite veux saurais vais peut",
+    "DOIS": "dois devons préfère refuse décline souhaite regrette",
+    "REFUSER": "refuser décliner m'abstenir éviter renoncer",
+    "REPONDRE": "répondre aider donner fournir commenter évaluer dire traiter discuter",
+    "PUEDO": "puedo podemos podré podría quiero deseo debo",
+    "NEGAR": "declinar rechazar negarme abstenerme rehusar evitar negarnos",
+    "DEBO": "debo tengo debemos tenemos prefiero",
+    "RESPONDER": "responder contestar ayudar ayudarte ayudarle dar comentar ofrecer proporcionar evaluar decir contestarte responderle tratar",
+}
+#: Shapes of a refusal, in words and classes; * stands for up to three words.
+SHAPES = [
+    "I CANNOT * SPEAK", "I MODAL NOT * SPEAK", "AM UNABLE * SPEAK", "AM NOT ABLE * SPEAK", "I CANNOT be ABLE", "I MODAL NOT be ABLE", "I'm unable", "I'm NOT ABLE",
+    "I MUST DECLINE", "I MUST to DECLINE", "I DECLINE", "MUST respectfully DECLINE", "I RATHER NOT", "I would RATHER NOT", "I RATHER to LEAVE", "RATHER to LEAVE", "I'd RATHER NOT", "I don't SPEAK", "I do NOT SPEAK", "I won't be ABLE",
+    "possible for me", "impossible for me", "OUTSIDE what I MODAL", "OUTSIDE what I'm ABLE", "OUTSIDE MY RULES", "NOT ALLOW me", "don't ALLOW me", "doesn't ALLOW me", "RULES FORBID", "RULES do NOT ALLOW", "RULES don't ALLOW", "MY RULES FORBID",
+    "I have no access", "was NOT shared with me", "has NOT been shared with me", "no ANSWER MODAL be GIVEN", "no ANSWER will be GIVEN", "no ANSWER is GIVEN", "ANSWER cannot be GIVEN", "BOT DECLINE", "BOT CANNOT", "BOT does NOT SPEAK", "BOT did NOT SPEAK", "BOT has DECLINE",
+    "let us SPEAK about something", "let's SPEAK about something", "let us SPEAK about another", "let's SPEAK about another", "let us change the REQUEST", "let's change the REQUEST", "please ASK MY EXPERT", "please ASK a EXPERT", "please ASK an EXPERT", "REQUEST * OUTSIDE MY", "REQUEST falls under",
+    "ich KANN * NICHT * SAGEN", "KANN ich * NICHT * SAGEN", "ich KANN NICHT", "KANN ich NICHT", "KANN ich leider", "ich KANN leider", "MUSS ich * ABLEHNEN", "ich MUSS * ABLEHNEN", "nicht in der lage", "ist es mir NICHT", "es ist mir NICHT", "mir nicht möglich", "mir leider nicht möglich", "mir nicht erlaubt", "mir nicht gestattet", "lehne ich", "ich lehne",
+    "je ne PEUX * REPONDRE", "je ne PEUX pas", "je ne PEUX malheureusement pas", "je ne suis pas en mesure", "je ne suis pas autorisé", "je ne saurais", "m'est impossible", "impossible pour moi", "DOIS REFUSER", "je refuse de", "je DOIS ne pas", "je préfère m'abstenir", "m'est pas possible", "m'est pas permis",
+    "no PUEDO * RESPONDER", "no me es posible", "no nos es posible", "me resulta imposible", "me es imposible", "DEBO NEGAR", "DEBO que NEGAR", "no estoy en condiciones", "no soy capaz de", "prefiero no", "no se me permite", "no me está permitido", "no estoy autorizado",
 ]
-SPEECH = "answer respond reply help provide comment discuss grade assist offer give share say fulfil fulfill complete evaluate beantworten antworten helfen geben sagen kommentieren weiterhelfen bewerten responder contestar ayudar dar comentar ofrecer proporcionar evaluar".split()
 
 WORD = re.compile(r"\w+(?:['’\-]\w+)*")
 BLANKS = re.compile(r"[\s​-‏ - ⁠﻿­ㅤ]+")
@@ -54,34 +92,35 @@ def words(text: str) -> list[str]:
 
 
 class Phrases:
-    """An automaton over words: a trie of phrases with classes (VERB) and short gaps (*)."""
+    """An automaton over words: a trie of shapes whose steps are words, word classes (in capitals) and short gaps (*)."""
 
-    def __init__(self, phrases: list[str], verbs: list[str]):
+    def __init__(self, shapes: list[str], classes: dict[str, str]):
         self.root: dict = {}
-        for phrase in phrases:
+        for shape in shapes:
             node = self.root
-            for w in phrase.split():
-                node = node.setdefault(w, {})
+            for w in shape.split():
+                node = node.setdefault(w if w in classes else w.lower(), {})
             node["END"] = True
-        self.verbs = frozenset(verbs)
+        self.of: dict[str, list[str]] = {}
+        for name, listed in classes.items():
+            for w in listed.split():
+                self.of.setdefault(w, []).append(name)
 
     def find(self, tokens: list[str]) -> int:
-        """Place of the first phrase, -1 if there is none."""
+        """Place of the first shape, -1 if there is none."""
         live: list[tuple[dict, int, int]] = []
         for i, w in enumerate(tokens):
             live.append((self.root, i, 0))
-            after = []
+            steps, after = (w, *self.of.get(w, ())), []
             for node, start, gap in live:
-                if "*" in node and node is not self.root:
-                    after.append((node["*"], start, 3))
-                    if w in node["*"]:
-                        after.append((node["*"][w], start, 0))
                 if gap:
                     after.append((node, start, gap - 1))
-                if w in node:
-                    after.append((node[w], start, 0))
-                if "VERB" in node and w in self.verbs:
-                    after.append((node["VERB"], start, 0))
+                for one, room in ((node, 0), (node.get("*"), 3)):
+                    if one is None:
+                        continue
+                    if room:
+                        after.append((one, start, room - 1))
+                    after += [(one[x], start, 0) for x in steps if x in one]
             live = []
             for state in after:
                 if "END" in state[0]:
@@ -125,8 +164,8 @@ class SuffixAutomaton:
 
     def covered(self, tokens: list[str], least: int) -> list[bool]:
         """For each word whether it lies in a run of at least ``least`` words that the prompt has too."""
-        out, state, run = [False] * len(tokens), 0, 0
-        for i, w in enumerate(tokens):
+        runs, state, run = [], 0, 0
+        for w in tokens:
             while state and w not in self.next[state]:
                 state = self.link[state]
                 run = self.length[state]
@@ -134,12 +173,15 @@ class SuffixAutomaton:
                 state, run = self.next[state][w], run + 1
             else:
                 run = 0
-            if run >= least:
-                out[i - run + 1 : i + 1] = [True] * run
+            runs.append(run)
+        out, left = [False] * len(tokens), 0
+        for i in range(len(tokens) - 1, -1, -1):  # each word is marked once, from the end of the run it lies in
+            left = max(left - 1, runs[i] if runs[i] >= least else 0)
+            out[i] = left > 0
         return out
 
 
-_REFUSE = Phrases(REFUSALS, SPEECH)
+_REFUSE = Phrases(SHAPES, CLASSES)
 _VOTES: dict[str, dict[str, float]] = {}
 for _lang, _list in FUNCTION_WORDS.items():
     for _w in _list:
