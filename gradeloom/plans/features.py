@@ -45,7 +45,7 @@ def conditional_sql(a: str, b: str, c: str) -> str:
 
 
 def type_sql(f: str) -> str:
-    return "CASE " + " ".join(f"WHEN starts_with({text_sql(f)}, '{w}') THEN {i}.0" for i, w in enumerate(T.QUESTION_WORDS)) + f" ELSE {len(T.QUESTION_WORDS)}.0 END"
+    return "CASE " + " ".join(f"WHEN starts_with({text_sql(f)}, '{w}') THEN {i}.0::DOUBLE" for i, w in enumerate(T.QUESTION_WORDS)) + f" ELSE {len(T.QUESTION_WORDS)}.0::DOUBLE END"
 
 
 def density_sql(t: str) -> str:
@@ -55,7 +55,7 @@ def density_sql(t: str) -> str:
 def profile(values: DataFrame, x: str) -> DataFrame:
     """label, n, mean, p25, p50, p75 of a feature; repeats of a qa_id count once, dropped when the texts are gone."""
     rows = values.dropDuplicates(["qa_id"])
-    means = rows.groupBy("label").agg(F.round(F.avg(x), 6).alias("mean"))
+    means = rows.groupBy("label").agg(F.round(F.avg(x), 9).alias("mean"))
     p = percentiles(rows.select("label", F.col(f"`{x}`").alias("x")), ["label"], [0.25, 0.5, 0.75])
     got = means.withColumnRenamed("label", "l").join(p, F.col("l").eqNullSafe(F.col("label")))
     return got.select("label", "n", "mean", *(F.round(F.col("p")[i], 9).alias(c) for i, c in enumerate(("p25", "p50", "p75"))))
@@ -63,7 +63,7 @@ def profile(values: DataFrame, x: str) -> DataFrame:
 
 def profile_sql(rows: str) -> str:
     quartiles = ", ".join(f"round(quantile_cont(x, 0.{p}), 9) AS p{p}" for p in (25, 50, 75))
-    return f"SELECT label, count(*) AS n, round(avg(x), 6) AS mean, {quartiles} FROM ({rows}) GROUP BY label"
+    return f"SELECT label, count(*) AS n, round(avg(x), 9) AS mean, {quartiles} FROM ({rows}) GROUP BY label"
 
 
 def _profiled(feature: O.Feature, sql: str, **named: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:

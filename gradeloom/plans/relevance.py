@@ -83,13 +83,13 @@ SELECT z.qa_id, count(place) AS refs, round(-avg(place), 6) AS score FROM z LEFT
 
 def match_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qa_id, label, matched_cluster, score: J5, W9."""
-    return _scored(spark, sf_dir).select("qa_id", "label", "matched_cluster", F.round("score", 6).alias("score"))
+    return _scored(spark, sf_dir).select("qa_id", "label", "matched_cluster", "score")
 
 
 def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """label, place, qa_id, score: training rows of each label by falling score, then id: W5, W6."""
     ranked = running(_scored(spark, sf_dir).select("qa_id", "label", "score"), ["label"], [F.col("score").desc(), F.col("qa_id")])
-    return ranked.select("label", F.col("before").alias("place"), "qa_id", F.round("score", 6).alias("score"))
+    return ranked.select("label", F.col("before").alias("place"), "qa_id", "score")
 
 
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def score_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chosen, every: mean score of the chosen third and of all: A8."""
     scored = _scored(spark, sf_dir)
     third = O.top_third(scored.select("qa_id", *_GROUPS, "score"), _GROUPS, [F.col("score").desc(), F.col("qa_id")])
-    return third.agg(F.round(F.avg("score"), 6).alias("chosen")).join(scored.agg(F.round(F.avg("score"), 6).alias("every")))  # one row each
+    return third.agg(F.round(F.avg("score"), 9).alias("chosen")).join(scored.agg(F.round(F.avg("score"), 9).alias("every")))  # one row each
 
 
 def subsample_materialize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,15 +150,15 @@ def compare_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = train.join(_best(spark, sf_dir).select("qa_id"), "qa_id", "left_semi")
     long = {k: long_form(df, [], names) for k, df in (("original", train), ("chosen", chosen), ("reference", reference))}
     got = O.compare_means(long, "reference", views.table(spark, sf_dir, "feature_weights").where("weight > 0"))
-    return got.select("feature", *(F.round(c, 6).alias(c) for c in got.columns if c != "feature"))
+    return got.select("feature", *(F.round(c, 9).alias(c) for c in got.columns if c != "feature"))
 
 
 _MEANS = f"""
 WITH {_BEST},
 l AS (SELECT 'original' AS s, qa_id, feature, x FROM {views.long_sql('train', 'qa_id', WEIGHTED)} UNION ALL SELECT 'reference', qa_id, feature, x FROM {views.long_sql('ref', 'qa_id', WEIGHTED)}),
 m AS (SELECT feature, avg(x) FILTER (s = 'original') AS o, avg(x) FILTER (s = 'original' AND qa_id IN (SELECT qa_id FROM best)) AS c, avg(x) FILTER (s = 'reference') AS r FROM l GROUP BY feature)
-SELECT feature, round(o, 6) AS mean_original, round(c, 6) AS mean_chosen, round(r, 6) AS mean_reference, round(abs(o - r), 6) AS diff_original, round(abs(c - r), 6) AS diff_chosen FROM m
-UNION ALL SELECT 'total', NULL, NULL, NULL, round(sum(abs(o - r)) / (SELECT sum(weight) FROM {_W}), 6), round(sum(abs(c - r)) / (SELECT sum(weight) FROM {_W}), 6) FROM m"""
+SELECT feature, round(o, 9) AS mean_original, round(c, 9) AS mean_chosen, round(r, 9) AS mean_reference, round(abs(o - r), 9) AS diff_original, round(abs(c - r), 9) AS diff_chosen FROM m
+UNION ALL SELECT 'total', NULL, NULL, NULL, round(sum(abs(o - r)) / (SELECT sum(weight) FROM {_W}), 9), round(sum(abs(c - r)) / (SELECT sum(weight) FROM {_W}), 9) FROM m"""
 
 
 def latex_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,12 +230,12 @@ def semi_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 THIRD = f"(SELECT qa_id, label, domain_name FROM {views.FEATURES} QUALIFY row_number() OVER (PARTITION BY label, domain_name ORDER BY qa_id) <= count(*) OVER (PARTITION BY label, domain_name) // 3)"
 _NAMED: dict[str, tuple[Callable, str | None]] = {
     "neighbor_rank": (neighbor_rank, _NEIGHBOURS),
-    "match_clusters": (match_clusters, f"WITH {_SCORED} SELECT qa_id, label, matched_cluster, round(score, 6) AS score FROM scored"),
-    "rank_scores": (rank_scores, f"WITH {_SCORED} SELECT label, row_number() OVER (PARTITION BY label ORDER BY score DESC, qa_id) - 1 AS place, qa_id, round(score, 6) AS score FROM scored"),
+    "match_clusters": (match_clusters, f"WITH {_SCORED} SELECT qa_id, label, matched_cluster, score FROM scored"),
+    "rank_scores": (rank_scores, f"WITH {_SCORED} SELECT label, row_number() OVER (PARTITION BY label ORDER BY score DESC, qa_id) - 1 AS place, qa_id, score FROM scored"),
     "balanced_sample": (balanced_sample, f"WITH f AS {views.FEATURES} SELECT qa_id, label FROM f QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42-' || qa_id), qa_id) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM f GROUP BY label))"),
     "top_third_baseline": (top_third_baseline, f"SELECT * FROM {THIRD}"),
     "top_third_scored": (top_third_scored, f"WITH {_BEST} SELECT qa_id, label, domain_name FROM best"),
-    "score_means": (score_means, f"WITH {_BEST} SELECT (SELECT round(avg(score), 6) FROM best) AS chosen, (SELECT round(avg(score), 6) FROM scored) AS every"),
+    "score_means": (score_means, f"WITH {_BEST} SELECT (SELECT round(avg(score), 9) FROM best) AS chosen, (SELECT round(avg(score), 9) FROM scored) AS every"),
     "subsample_materialize": (subsample_materialize, f"SELECT qa_id, q.label, q.input.question AS question, q.input.answer AS answer FROM {views.QA} q SEMI JOIN {THIRD} t USING (qa_id)"),
     "features_join": (features_join, rf"SELECT qa_id, f.label, answer_length, len(regexp_extract_all(coalesce(q.input.answer, ''), '[\p{{L}}\p{{N}}]+')) AS words FROM {views.FEATURES} f JOIN {views.QA} q USING (qa_id)"),
     "distinct_domains": (distinct_domains, f"SELECT DISTINCT {views.DOMAIN_SQL} AS domain_name FROM {views.QA} WHERE domain_name IS NOT NULL"),

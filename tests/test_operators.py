@@ -239,7 +239,13 @@ def test_latex_row(spark):
 
 
 def test_shared_folder_is_needed_on_a_cluster(spark):
-    assert shared_dir(spark).startswith("file:")
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": staticmethod(dict)})
+
+    assert shared_dir(spark)
+    with pytest.raises(ValueError):
+        shared_dir(Cluster())
 
 
 def test_lexical_density_and_tagger(spark):
