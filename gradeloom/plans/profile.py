@@ -12,6 +12,8 @@ from gradeloom.operators.ranking import long_form
 from gradeloom.plans import views
 
 PROBS = [0.25, 0.5, 0.75]
+#: Means of few values often end in a half, which engines round differently; this settles it.
+_TIE = 1e-12
 _LONG = views.long_sql(views.FEATURES, "qa_id, label")
 _P = ", ".join(f"round(quantile_cont(x, {p}), 9) AS p{int(p * 100)}" for p in PROBS)
 
@@ -65,14 +67,14 @@ def feature_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """slice, feature, n, mean, p25, p50, p75: A7 with one cluster."""
     got = O.profile(views.features(spark, sf_dir), views.feature_columns(spark, sf_dir))
-    return _quartiles(got, "slice", "feature", F.round("mean", 11).alias("mean"))
+    return _quartiles(got, "slice", "feature", F.round(F.col("mean") + _TIE, 9).alias("mean"))
 
 
 def profile_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """slice, cluster, feature, n, mean, p25, p50, p75: A7 with a cluster column, the question type."""
     names = [c for c in views.feature_columns(spark, sf_dir) if c != "question_type_label"]
     rows = views.features(spark, sf_dir).where("question_type_label IS NOT NULL").withColumn("cluster", F.floor("question_type_label"))
-    return _quartiles(O.profile(rows, names, "cluster"), "slice", "cluster", "feature", F.round("mean", 11).alias("mean"))
+    return _quartiles(O.profile(rows, names, "cluster"), "slice", "cluster", "feature", F.round(F.col("mean") + _TIE, 9).alias("mean"))
 
 
 def percentile_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,7 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cluster, n, centre: the means after that step."""
     rows = _scaled_vectors(spark, sf_dir)
-    return O.lloyd_step(rows, "v", _centres(rows)).select("cluster", "n", F.transform("centre", lambda x: F.round(x, 11)).alias("centre"))
+    return O.lloyd_step(rows, "v", _centres(rows)).select("cluster", "n", F.transform("centre", lambda x: F.round(x + _TIE, 9)).alias("centre"))
 
 
 _scaled = f"round(CASE WHEN max({{0}}) OVER () > min({{0}}) OVER () THEN ({{0}} - min({{0}}) OVER ()) / (max({{0}}) OVER () - min({{0}}) OVER ()) ELSE 0 END, 6)"
@@ -189,14 +191,14 @@ _NAMED: dict[str, tuple[Callable, str | None]] = {
     "feature_mean": (feature_mean, f"SELECT label, {', '.join(f'round(coalesce(avg({c}), 0), 9) AS {c}_mean' for c in views.NAMES)} FROM {views.FEATURES} GROUP BY label"),
     "feature_std": (feature_std, f"SELECT {', '.join(f'round(coalesce(stddev_pop({c}), 0), 6) AS {c}_std' for c in views.NAMES)} FROM {views.FEATURES}"),
     "feature_percentiles": (feature_percentiles, f"SELECT feature, count(*) AS n, {_P} FROM {_LONG} GROUP BY feature"),
-    "profile_grouping_sets": (profile_grouping_sets, f"SELECT slice, feature, count(*) AS n, round(avg(x), 11) AS mean, {_P} FROM (SELECT unnest(['all', label::VARCHAR]) AS slice, feature, x FROM {_LONG}) GROUP BY slice, feature"),
-    "profile_clusters": (profile_clusters, f"SELECT slice, cluster, feature, count(*) AS n, round(avg(x), 11) AS mean, {_P} FROM (SELECT unnest(['all', label::VARCHAR]) AS slice, floor(question_type_label)::BIGINT AS cluster, feature, x FROM {views.long_sql(f'(SELECT * FROM {views.FEATURES} WHERE question_type_label IS NOT NULL)', 'label, question_type_label', [c for c in views.NAMES if c != 'question_type_label'])}) GROUP BY ALL"),
+    "profile_grouping_sets": (profile_grouping_sets, f"SELECT slice, feature, count(*) AS n, round(avg(x) + 1e-12, 9) AS mean, {_P} FROM (SELECT unnest(['all', label::VARCHAR]) AS slice, feature, x FROM {_LONG}) GROUP BY slice, feature"),
+    "profile_clusters": (profile_clusters, f"SELECT slice, cluster, feature, count(*) AS n, round(avg(x) + 1e-12, 9) AS mean, {_P} FROM (SELECT unnest(['all', label::VARCHAR]) AS slice, floor(question_type_label)::BIGINT AS cluster, feature, x FROM {views.long_sql(f'(SELECT * FROM {views.FEATURES} WHERE question_type_label IS NOT NULL)', 'label, question_type_label', [c for c in views.NAMES if c != 'question_type_label'])}) GROUP BY ALL"),
     "percentile_matrix": (percentile_matrix, _MATRIX),
     "minmax_scale": (minmax_scale, _MINMAX),
     "first_n_per_label": (first_n_per_label, f"SELECT qa_id, label FROM {views.QA} WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY label ORDER BY qa_id) <= 100"),
     "seeded_sample": (seeded_sample, f"SELECT qa_id, label FROM {views.FEATURES} ORDER BY md5('42-' || qa_id), qa_id LIMIT 5000"),
     "kmeans_assign": (kmeans_assign, f"{_ASSIGNED} SELECT cluster, count(*) AS n, round(sum(distance), 4) AS inertia FROM b GROUP BY cluster"),
-    "kmeans_centres": (kmeans_centres, f"{_ASSIGNED}, m AS (SELECT cluster, i, count(*) AS n, round(avg(x), 11) AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS i FROM b) GROUP BY cluster, i) SELECT cluster, max(n) AS n, list(m ORDER BY i) AS centre FROM m GROUP BY cluster"),
+    "kmeans_centres": (kmeans_centres, f"{_ASSIGNED}, m AS (SELECT cluster, i, count(*) AS n, round(avg(x) + 1e-12, 9) AS m FROM (SELECT cluster, unnest(v) AS x, unnest(range(len(v))) AS i FROM b) GROUP BY cluster, i) SELECT cluster, max(n) AS n, list(m ORDER BY i) AS centre FROM m GROUP BY cluster"),
     "kmeans_profile": (kmeans_profile, None),
     "silhouette": (silhouette, _SILHOUETTE),
 }
