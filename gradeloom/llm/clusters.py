@@ -10,45 +10,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm.neighbours import distances
-from gradeloom.llm.space import Space, fit_space, matrix, pack, read_metric, spread_over, unpack, usable
+from gradeloom.llm.space import fit_space, matrix, pack, read_metric, refine, share, spread_over, unpack, usable
 from gradeloom.storage import drop_table, written
 
 PAIRS_AT_ONCE = 1 << 20
 
 
-def _place(space: Space, radius: float):
-    """Each row in its own leaf and in every other leaf at most ``radius`` away. Copies in a batch are linked at once."""
+def _place(shared, radius: float):
+    """Each row in every leaf at most ``radius`` away, its own included.
+
+    Of copies in a batch only the row of the smallest id stays; the others have neither leaf nor vector but
+    ``copy_of``, its id. Rows of a vector that may be hot stand once, in their own leaf, and are marked.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = shared.value
         d = len(space.metric.names)
-        first: dict[tuple[int, bytes], int] = {}
         for batch in batches:
-            x, label, ids = matrix(batch["v"], d), batch["label"].to_numpy(), batch["qa_id"].to_numpy()
-            if not len(ids):
-                continue
+            ids, hot = batch["qa_id"].to_numpy(), np.isin(batch["h"].to_numpy(), space.hot)
+            x, label = matrix(batch["v"], d), batch["label"].to_numpy()
             z, packed = space.project(x), pack(x)
-            lead = np.array([first.setdefault((lab, p), i) for lab, p, i in zip(label.tolist(), packed, ids.tolist(), strict=True)])
-            if len(first) > 200_000:
-                first = {}
-            own = np.flatnonzero(lead == ids)
-            rows, leaves = [], []
+            first: dict[tuple[int, bytes], int] = {}
+            for lab, p, i in zip(label.tolist(), packed, ids.tolist(), strict=True):
+                first[lab, p] = min(i, first.get((lab, p), i))
+            lead = np.array([first[lab, p] for lab, p in zip(label.tolist(), packed, strict=True)], np.int64)
+            stays = np.flatnonzero((lead == ids) & ~hot)
+            rows, leaves = [np.zeros(0, int)], [np.zeros(0, np.int64)]
             for lab in space.trees:
-                at = own[label[own] == lab]
+                at = stays[label[stays] == lab]
                 r, to = space.within(lab, z[at], np.full(len(at), radius))
                 rows.append(at[r])
                 leaves.append(to)
             rows, leaves = np.concatenate(rows), np.concatenate(leaves)
-            home = space.home(label, z)
-            copies = np.flatnonzero(lead != ids)
+            own = leaves == space.home(label[rows], z[rows])
+            copies, hots = np.flatnonzero((lead != ids) & ~hot), np.flatnonzero(hot)
+            n, m = len(rows), len(copies)
+            home = space.home(label[hots], z[hots])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([leaves, home[copies]]), pa.int32()),
-                    pa.array(np.concatenate([ids[rows], ids[copies]]), pa.int64()),
-                    pa.array(np.concatenate([leaves == home[rows], np.ones(len(copies), bool)]), pa.bool_()),
-                    pa.array([packed[i] for i in rows.tolist()] + [None] * len(copies), pa.binary()),
-                    pa.array([None] * len(rows) + lead[copies].tolist(), pa.int64()),
+                    pa.array([*leaves.tolist(), *[None] * m, *home.tolist()], pa.int64()),
+                    pa.array(np.concatenate([ids[rows], ids[copies], ids[hots]]), pa.int64()),
+                    pa.array(np.concatenate([own, np.zeros(m, bool), np.zeros(len(hots), bool)]), pa.bool_()),
+                    pa.array([*(packed[i] for i in rows.tolist()), *[None] * m, *(packed[i] for i in hots.tolist())], pa.binary()),
+                    pa.array([*[None] * n, *lead[copies].tolist(), *[None] * len(hots)], pa.int64()),
+                    pa.array(np.arange(n + m + len(hots)) >= n + m),
+                    pa.array(np.concatenate([label[rows], label[copies], label[hots]]), pa.int32()),
                 ],
-                ["leaf", "qa_id", "home", "x", "copy_of"],
+                ["leaf", "qa_id", "own", "x", "copy_of", "hot", "label"],
             )
 
     return run
@@ -148,50 +156,64 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels
 
 
-def clusters(rows: DataFrame, metric, radius: float = 0.4, least: int = 3, leaf_rows: int = 4096, sample_rows: int = 100_000) -> DataFrame:
+def clusters(rows: DataFrame, metric, radius: float = 0.4, least: int = 3, leaf_rows: int = 4096, sample_rows: int = 100_000, max_leaves: int | None = None) -> DataFrame:
     """cluster_id, qa_id, label of each row in a group of at least ``least`` rows of one label.
 
     Two rows of a label belong together if they are at most ``radius`` apart or are linked by rows each at
     most that far from the next; cluster_id is the group's smallest qa_id. ``rows`` is (qa_id, label, v) as
-    :func:`gradeloom.llm.space.usable` gives it; repeats count once and no rows give no rows.
+    :func:`gradeloom.llm.space.usable` gives it; repeats count once and no rows give no rows. Of a hot vector one
+    row is compared for all its copies, which then only take its group.
     """
-    space = fit_space(rows, metric, leaf_rows, sample_rows)
-    d, tasks = len(metric.names), spread_over(rows.sparkSession, space)
-    placed = rows.mapInArrow(_place(space, radius), "leaf int, qa_id bigint, home boolean, x binary, copy_of bigint").repartition(tasks, "leaf")
-    label_of = {leaf: lab for lab, tree in space.trees.items() for leaf in tree.leaf if leaf >= 0}
+    spark = rows.sparkSession
+    space = fit_space(rows, metric, leaf_rows, sample_rows, max_leaves)
+    shared = share(spark, space)
+    d, tasks = len(metric.names), spread_over(spark, space)
+    label_of = space.labels()
+    found, _ = written(rows.withColumn("h", F.xxhash64("label", "v")).mapInArrow(_place(shared, radius), "leaf bigint, qa_id bigint, own boolean, x binary, copy_of bigint, hot boolean, label int"))
+    placed = found.where("leaf IS NOT NULL AND NOT hot").select("leaf", "qa_id", "x", "own")
+    copies = found.where("copy_of IS NOT NULL").select("qa_id", F.col("copy_of").alias("of"), "label")
+    if len(space.hot):
+        alike = found.where("hot")
+        leads, _ = written(alike.groupBy("leaf", "x").agg(F.min("qa_id").alias("of")))  # at most sample_rows / HOT_IN_SAMPLE vectors
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            space = shared.value
+            for batch in batches:
+                home, z = batch["leaf"].to_pylist(), space.project(unpack(batch["x"], d))
+                out = [(to, i, to == h, b) for n, (h, i, b) in enumerate(zip(home, batch["of"].to_pylist(), batch["x"].to_pylist(), strict=True)) for to in space.within(label_of[h], z[n : n + 1], np.full(1, radius))[1].tolist()]
+                columns = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["leaf", "qa_id", "own", "x"])
+
+        placed = placed.unionByName(leads.mapInArrow(spread, "leaf bigint, qa_id bigint, own boolean, x binary").select("leaf", "qa_id", "x", "own"))
+    below = refine(placed, space, shared, written)
+    dealt = below.descend(placed.withColumn("r", F.lit(float(radius))), shared, "r", "own").select("leaf", "qa_id", "home", "x").repartition(tasks, "leaf")
 
     def link(table: pa.Table) -> pa.Table:
+        space = shared.value
         leaf = table["leaf"][0].as_py()
-        ids, lead = table["qa_id"].to_numpy(), table["copy_of"].to_pandas().to_numpy(float)
-        home_all = table["home"].to_numpy()
-        real = np.flatnonzero(np.isnan(lead))
-        uniq, at = np.unique(ids[real], return_index=True)
-        sub = table.take(pa.array(real[at]))
-        x = unpack(sub["x"].combine_chunks(), d)
-        of = link_leaf(metric, x, space.project(x), home_all[real[at]], radius) if len(uniq) else np.zeros(0, int)
-        comp = uniq[of] if len(uniq) else uniq
-        copy = np.flatnonzero(~np.isnan(lead))
-        out_id, out_comp = uniq, comp
-        home = home_all[real[at]]
-        if len(copy):  # a copy belongs where the row it copies does, which is in this leaf too
-            of_copy = table["copy_of"].take(pa.array(copy)).to_numpy()
-            new = ~np.isin(ids[copy], uniq)
-            cid, cat = np.unique(ids[copy][new], return_index=True)
-            out_id, home = np.concatenate([uniq, cid]), np.concatenate([home, np.ones(len(cid), bool)])
-            out_comp = np.concatenate([comp, comp[np.searchsorted(uniq, of_copy[new][cat])]])
-        size = np.unique(out_comp, return_inverse=True, return_counts=True)
+        ids, at = np.unique(table["qa_id"].to_numpy(), return_index=True)
+        home = table["home"].to_numpy()[at]
+        x = unpack(table["x"].combine_chunks(), d)[at]
+        comp = ids[link_leaf(space.metric, x, space.project(x), home, radius)]
+        size = np.unique(comp, return_inverse=True, return_counts=True)
         keep = size[2][size[1]] >= 2
-        return pa.table({"qa_id": pa.array(out_id[keep], pa.int64()), "comp": pa.array(out_comp[keep], pa.int64()), "home": pa.array(home[keep]), "label": pa.array(np.full(int(keep.sum()), label_of[leaf]), pa.int32())})
+        return pa.table({"qa_id": pa.array(ids[keep], pa.int64()), "comp": pa.array(comp[keep], pa.int64()), "label": pa.array(np.full(int(keep.sum()), label_of[leaf >> 32]), pa.int32())})
 
-    local, _ = written(placed.groupBy("leaf").applyInArrow(link, "qa_id bigint, comp bigint, home boolean, label int"))
-    # Only rows that have links in several leaves tie the leaves' components together; at most one row for each leaf of a row.
+    local, _ = written(dealt.groupBy("leaf").applyInArrow(link, "qa_id bigint, comp bigint, label int"))
+    # Only rows that have links in several leaves tie the leaves' components together; at most one row for each leaf of a row. A copy ties to what it copies.
     tied = local.groupBy("qa_id").agg(F.min("comp").alias("a"), F.collect_set("comp").alias("all")).where("size(all) > 1").select("a", F.explode("all").alias("b")).where("a <> b").distinct()
     roots = components(tied)
-    named = local.join(roots, local.comp == roots.node, "left").select("qa_id", "label", F.coalesce("root", "comp").alias("cluster_id"))
-    rows_of = named.groupBy("qa_id").agg(F.min("cluster_id").alias("root"), F.min("label").alias("label"))
-    rows_of, _ = written(rows_of)
-    sizes = rows_of.groupBy("root").agg(F.count("*").alias("n"), F.min("qa_id").alias("cluster_id")).where(F.col("n") >= least)
-    return rows_of.join(sizes, "root").select("cluster_id", "qa_id", "label")
+    linked = local.groupBy("qa_id").agg(F.min("comp").alias("comp"), F.min("label").alias("label")).join(roots, F.col("comp") == F.col("node"), "left").select("qa_id", "label", F.coalesce("root", "comp").alias("root"))
+    root_of = linked.select(F.col("qa_id").alias("of"), "root")
+    pointers = copies.unionByName(copies.select(F.col("of").alias("qa_id"), "of", "label")).distinct()
+    members = linked.unionByName(pointers.join(root_of, "of", "left").select("qa_id", "label", F.coalesce("root", "of").alias("root")))
+    if len(space.hot):
+        known = leads.join(root_of, "of", "left").select("leaf", "x", F.coalesce("root", "of").alias("root"))
+        members = members.unionByName(alike.join(F.broadcast(known), ["leaf", "x"]).select("qa_id", "label", "root"))
+    # The root is the smallest id of its group. Only small groups are looked up, so a giant one is no key of the join's right side and its left side may be split.
+    rows_of, _ = written(members.groupBy("qa_id").agg(F.min("root").alias("cluster_id"), F.min("label").alias("label")))
+    small = rows_of.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") < least).select("cluster_id")
+    return rows_of.join(small, "cluster_id", "left_anti").select("cluster_id", "qa_id", "label")
 
 
 def describe(found: DataFrame, rows: DataFrame, metric, radius: float = 0.4, typical: int = 3) -> DataFrame:

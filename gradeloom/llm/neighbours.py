@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.space import Metric, Space, fit_space, matrix, pack, read_metric, spread_over, unpack, usable
+from gradeloom.llm.space import Metric, fit_space, matrix, pack, read_metric, refine, share, spread_over, unpack, usable
 from gradeloom.storage import written
 
-#: More copies of one vector than this in a batch are gathered before the shuffle.
-HOT = 8
 PAIRS_AT_ONCE = 1 << 20
 #: Added to the windows for the rounding of projections, and as much again for each unit of a row's own largest projection.
 SLACK, ROUNDING = 5e-4, 4 * float(np.finfo(np.float32).eps)
@@ -47,65 +45,81 @@ def _nearest(k: int, q: np.ndarray, ids: np.ndarray, d: np.ndarray, n: int) -> t
     return q[top], ids[top], d[top]
 
 
-def window_search(metric: Metric, k: int, zq, xq, iq, rq, zb, xb, ib, levels, projections: int = 8, threshold: int | None = None):
+def window_search(metric: Metric, k: int, zq, xq, iq, rq, zb, xb, ib, levels, projections: int = 8, threshold: int | None = None, width: float = 1.0):
     """(query, id, distance) of the at most k nearest base rows within ``rq`` of each query.
 
-    The base is sorted by one projection. At each level the windows of all queries that are still open
-    widen to that radius; base rows in the window gather collisions on the other projections, and those
-    with at least ``threshold`` (all, if not given) are verified by their distance. A query is closed
-    when k verified rows lie within the level's radius, as no closer row can be outside the windows. The
-    windows are as wide as the radius on unit projections, so each true neighbour collides everywhere
-    and the result is exact.
+    The base is held in sorted arrays, one for each of the ``projections`` widest. At each level (virtual
+    rehashing) the windows of all queries that are still open expand to that radius; a query takes its candidates
+    from the array in which its window holds the fewest rows, their collisions are counted in the windows of the other
+    arrays, and those with at least ``threshold`` collisions are verified by their distance. A query is closed
+    when k verified rows lie within the level's radius, as no closer row can be outside the windows.
+
+    With ``width`` 1 and the threshold at all projections (the default) windows are as wide as the radius on unit
+    projections, so each true neighbour collides everywhere and the result is exact. Narrower windows
+    (``width`` below 1) with a lower threshold look at fewer rows and may miss some.
     """
     n, m = len(zq), min(projections, zq.shape[1])
     need = m if threshold is None else min(threshold, m)
     if not n or not len(zb):
         return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
     axes = np.argsort(-(np.quantile(zb, 0.9, axis=0) - np.quantile(zb, 0.1, axis=0)), kind="stable")[:m]
-    order = np.argsort(zb[:, axes[0]], kind="stable")
     far = max(np.abs(zb).max(), np.abs(zq).max())
     kind, wide = (np.float32, ROUNDING) if far < 1e30 else (np.float64, ROUNDING * 1e-6)
-    pb = np.ascontiguousarray(zb[order][:, axes].T.astype(kind))
-    xb, ib = xb[order], ib[order]
+    plain = np.ascontiguousarray(zb[:, axes].T.astype(kind))
+    orders = [np.argsort(plain[p], kind="stable") for p in range(m)]
+    lines = [plain[p][o] for p, o in enumerate(orders)]
     pq = zq[:, axes].astype(kind)
     slack = SLACK + wide * np.abs(zq[:, axes]).max(axis=1)
     found = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))]
-    todo = np.argsort(pq[:, 0], kind="stable")
+    todo = np.arange(n)
+    spare = m - need
     for level in levels:
         if not len(todo):
             break
-        radius = (np.minimum(level, rq) + slack).astype(kind)
-        lo = np.searchsorted(pb[0], pq[todo, 0] - radius[todo], "left")
-        hi = np.searchsorted(pb[0], pq[todo, 0] + radius[todo], "right")
-        got, i = [], 0
-        while i < len(todo):
-            j = i + 1
-            a, b = lo[i], hi[i]
-            while j < len(todo) and (j - i) < 512:
-                a2, b2 = min(a, lo[j]), max(b, hi[j])
-                if (b2 - a2) * (j - i + 1) > PAIRS_AT_ONCE:
-                    break
-                a, b, j = a2, b2, j + 1
-            part = todo[i:j]
-            r = radius[part][:, None]
-            hits = np.zeros((j - i, b - a), np.int8)
-            early = min(m, 3)
-            for p in range(early):
-                hits += np.abs(pq[part, p][:, None] - pb[p, a:b][None]) <= r
-            qi, bi = np.nonzero(hits >= early - (m - need))
-            count = hits[qi, bi]
-            for p in range(early, m):
-                count = count + (np.abs(pq[part[qi], p] - pb[p, a + bi]) <= radius[part[qi]])
-                left = count >= p + 1 - (m - need)
-                qi, bi, count = qi[left], bi[left], count[left]
-            qi, bi = part[qi], bi + a
-            other = ib[bi] != iq[qi]
-            qi, bi = qi[other], bi[other]
-            d = distances(metric, xq[qi], xb[bi])
-            near = d <= np.minimum(level, rq)[qi]
-            got.append(_nearest(k, qi[near], ib[bi[near]], d[near], n))
-            i = j
+        radius = (np.minimum(level, rq) * width + slack).astype(kind)
+        low = np.stack([np.searchsorted(lines[p], pq[todo, p] - radius[todo], "left") for p in range(m)])
+        high = np.stack([np.searchsorted(lines[p], pq[todo, p] + radius[todo], "right") for p in range(m)])
+        # A row with enough collisions can be missing from as many windows as collisions are spare, so from one array more it is taken at least once.
+        chosen = np.argsort(high - low, axis=0, kind="stable")[: spare + 1]
+        got = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))]
+        for turn, first in ((t, p) for t in range(spare + 1) for p in np.unique(chosen[t]).tolist()):
+            mine = np.flatnonzero(chosen[turn] == first)
+            mine = mine[np.argsort(low[first, mine], kind="stable")]
+            asked, lo, hi = todo[mine], low[first, mine], high[first, mine]
+            pb, order = plain[:, orders[first]], orders[first]
+            rest = [p for p in range(m) if p != first]
+            i = 0
+            while i < len(asked):
+                j = i + 1
+                a, b = lo[i], hi[i]
+                while j < len(asked) and (j - i) < 512:
+                    a2, b2 = min(a, lo[j]), max(b, hi[j])
+                    if (b2 - a2) * (j - i + 1) > PAIRS_AT_ONCE:
+                        break
+                    a, b, j = a2, b2, j + 1
+                part = asked[i:j]
+                r = radius[part][:, None]
+                hits = (np.abs(pq[part, first][:, None] - pb[first, a:b][None]) <= r).astype(np.int8)
+                early = rest[:2]
+                for p in early:
+                    hits += np.abs(pq[part, p][:, None] - pb[p, a:b][None]) <= r
+                qi, bi = np.nonzero(hits >= 1 + len(early) - spare)
+                count = hits[qi, bi]
+                for c, p in enumerate(rest[2:], 2 + len(early)):
+                    count = count + (np.abs(pq[part[qi], p] - pb[p, a + bi]) <= radius[part[qi]])
+                    left = count >= c - spare
+                    qi, bi, count = qi[left], bi[left], count[left]
+                qi, bi = part[qi], order[bi + a]
+                other = ib[bi] != iq[qi]
+                qi, bi = qi[other], bi[other]
+                d = distances(metric, xq[qi], xb[bi])
+                near = d <= np.minimum(level, rq)[qi]
+                got.append(_nearest(k, qi[near], ib[bi[near]], d[near], n))
+                i = j
         q, ids, d = (np.concatenate(c) for c in zip(*got, strict=True))
+        if spare:
+            at = np.unique(np.stack([q, ids]), axis=1, return_index=True)[1]
+            q, ids, d = _nearest(k, q[at], ids[at], d[at], n)
         full = np.bincount(q, minlength=n) >= k
         closed = full | (rq <= level) | (level == levels[-1])
         at_end = closed[q]
@@ -114,32 +128,16 @@ def window_search(metric: Metric, k: int, zq, xq, iq, rq, zb, xb, ib, levels, pr
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _place(space: Space, k: int):
-    """Rows with their leaf; many copies of one vector become followers of its smallest ids."""
+def _place(shared):
+    """Rows with their leaf; kind 1 marks the rows of a vector that may be hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, hot = len(space.metric.names), {}
-
-        def out(leaf, kind, ids, x):
-            return pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(kind, pa.int8()), pa.array(ids, pa.int64()), pa.array(x, pa.binary())], ["leaf", "kind", "qa_id", "x"])
-
+        space = shared.value
         for batch in batches:
-            x, label, ids = matrix(batch["v"], d), batch["label"].to_numpy(), batch["qa_id"].to_numpy()
-            if not len(ids):
-                continue
-            leaf, x = space.home(label, space.project(x)), pack(x)
-            keys = np.array([hash((a, b)) for a, b in zip(leaf.tolist(), x, strict=True)])
-            _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
-            many = (count > HOT)[inverse]
-            for i in np.flatnonzero(many).tolist():
-                kept = hot.setdefault((int(leaf[i]), x[i]), set())
-                kept.add(int(ids[i]))
-                if len(kept) > 4 * (k + 1):
-                    hot[(int(leaf[i]), x[i])] = set(sorted(kept)[: k + 1])
-            yield out(leaf, many.astype(np.int8), ids, x)
-        if hot:
-            rows = [(a, i, b) for (a, b), kept in hot.items() for i in sorted(kept)[: k + 1]]
-            yield out([r[0] for r in rows], [0] * len(rows), [r[1] for r in rows], [r[2] for r in rows])
+            x = matrix(batch["v"], len(space.metric.names))
+            leaf = space.home(batch["label"].to_numpy(), space.project(x))
+            many = np.isin(batch["h"].to_numpy(), space.hot)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(many.astype(np.int8)), batch["qa_id"], pa.array(pack(x), pa.binary())], ["leaf", "kind", "qa_id", "x"])
 
     return run
 
@@ -162,91 +160,102 @@ def _thin_copies(ids: np.ndarray, x: np.ndarray, k: int):
     start = np.concatenate([[0], np.flatnonzero(np.diff(inverse[order])) + 1, [len(ids)]])
     size = np.diff(start)
     rank = np.arange(len(ids)) - np.repeat(start[:-1], size)
-    keep = order[rank <= k]
-    groups = [order[s : s + k + 1] for s, c in zip(start[:-1].tolist(), size.tolist(), strict=True) if c > k]
     extra = order[rank > k]
     first = np.repeat(start[:-1], size)[rank > k]
     near = order[first[:, None] + np.arange(k)] if len(extra) else np.zeros((0, k), int)
-    return np.sort(keep), groups, extra, near
+    return np.sort(order[rank <= k]), extra, near
 
 
-def neighbours(rows: DataFrame, metric: Metric, k: int = 5, max_distance: float = 0.4, leaf_rows: int = 4096, sample_rows: int = 100_000, start: float = 0.25, projections: int = 8) -> DataFrame:
+def neighbours(
+    rows: DataFrame, metric: Metric, k: int = 5, max_distance: float = 0.4, leaf_rows: int = 4096, sample_rows: int = 100_000, start: float = 0.25, projections: int = 8, threshold: int | None = None, width: float = 1.0, max_leaves: int | None = None
+) -> DataFrame:
     """qa_id, neighbour, distance: the at most ``k`` nearest other rows of the same label within ``max_distance``.
 
     ``rows`` is (qa_id, label, v) as :func:`gradeloom.llm.space.usable` gives it; repeats of a row count
     once, equal distances go to the smaller qa_id, and no rows give no rows. Each row is searched for
     in its own leaf first; the distance of its k-th neighbour there then bounds which other leaves it
-    visits, so rows of dense groups visit hardly any.
+    visits, so rows of dense groups visit hardly any. The result is exact unless ``threshold`` and ``width`` say
+    otherwise, see :func:`window_search`.
+
+    Of a hot vector (many copies in the sample that fits the space) only the rows of the k + 1 smallest ids are searched for; the
+    others have the k smallest of these as neighbours, and no other row can want them.
     """
     spark = rows.sparkSession
-    space = fit_space(rows, metric, leaf_rows, sample_rows)
+    space = fit_space(rows, metric, leaf_rows, sample_rows, max_leaves)
+    shared = share(spark, space)
     d, tasks = len(metric.names), spread_over(spark, space)
     levels = [max_distance]
     while levels[0] > start * max_distance:
         levels.insert(0, levels[0] / 2)
-    placed, _ = written(rows.mapInArrow(_place(space, k), "leaf int, kind tinyint, qa_id bigint, x binary"))
-    base = placed.where("kind = 0").select("leaf", "qa_id", "x").repartition(tasks, "leaf")
-    label_of = {leaf: lab for lab, tree in space.trees.items() for leaf in tree.leaf if leaf >= 0}
+    found, _ = written(rows.withColumn("h", F.xxhash64("label", "v")).mapInArrow(_place(shared), "leaf bigint, kind tinyint, qa_id bigint, x binary"))
+    placed, copies = found.where("kind = 0").select("leaf", "qa_id", "x"), None
+    if len(space.hot):
+        # Each task keeps k + 1 of a vector's copies before they meet.
+        hot = found.where("kind = 1").select("leaf", "x", "qa_id").distinct()
+        first, _ = written(hot.withColumn("r", F.expr("row_number() OVER (PARTITION BY leaf, x ORDER BY qa_id)")).where(F.col("r") <= k + 1).drop("r"))
+        placed = placed.unionByName(first)
+        leaders = first.groupBy("leaf", "x").agg(F.array_sort(F.collect_set("qa_id")).alias("ids"))  # k + 1 for each of at most sample_rows / HOT_IN_SAMPLE vectors
+        followers = hot.join(F.broadcast(leaders), ["leaf", "x"]).where(F.col("qa_id") > F.element_at("ids", -1))
+        copies = followers.select("qa_id", F.explode(F.slice("ids", 1, k)).alias("neighbour"), F.lit(0.0).alias("distance"))
+    below = refine(placed, space, shared, written)
+    base = below.descend(placed, shared).select("leaf", "qa_id", "x").repartition(tasks, "leaf")
+    label_of, split = space.labels(), frozenset(below.sizes)
 
     def at_home(table: pa.Table) -> pa.Table:
+        space = shared.value
         leaf = table["leaf"][0].as_py()
-        ids, x = _distinct_rows(table, d)
-        keep, groups, extra, near = _thin_copies(ids, x, k)
-        x_all, ids_all = x, ids
-        x, ids = x[keep], ids[keep]
+        top = leaf >> 32
+        ids_all, x_all = _distinct_rows(table, d)
+        keep, extra, near = _thin_copies(ids_all, x_all, k)
+        x, ids = x_all[keep], ids_all[keep]
         z, n = space.project(x), len(ids)
-        q, found, dist = window_search(metric, k, z, x, ids, np.full(n, max_distance), z, x, ids, levels, projections)
+        q, found, dist = window_search(metric, k, z, x, ids, np.full(n, max_distance), z, x, ids, levels, projections, threshold, width)
         radius = np.full(n, max_distance)
         full = np.bincount(q, minlength=n) >= k
         last = np.zeros(n)
         np.maximum.at(last, q, dist)
         radius[full] = last[full]
-        at, to = space.within(label_of[leaf], z, radius)
-        away = (to != leaf) & (radius[at] > 0)
+        at, to = space.within(label_of[top], z, radius)
+        away = ((to != top) | (top in split)) & (radius[at] > 0)
         at, to = at[away], to[away]
         probing = np.bincount(at, minlength=n) > 0
-        packed = pack(x)
-        ng, ne = len(groups), len(extra)
+        packed, ne = pack(x), len(extra)
         return pa.table(
             {
-                "leaf": pa.array(np.full(n + ne + ng, leaf), pa.int32()),
-                "kind": pa.array([0] * (n + ne) + [1] * ng, pa.int8()),
-                "qa_id": pa.array(ids.tolist() + ids_all[extra].tolist() + [None] * ng, pa.int64()),
-                "x": pa.array([p if w else None for p, w in zip(packed, probing.tolist(), strict=True)] + [None] * ne + pack(x_all[[g[0] for g in groups]] if ng else np.zeros((0, d))), pa.binary()),
-                "radius": pa.array(radius.tolist() + [0.0] * (ne + ng), pa.float64()),
-                "ids": pa.concat_arrays([_lists(q, found, n, pa.int64()), pa.array(ids_all[near].tolist() + [ids_all[g].tolist() for g in groups], pa.list_(pa.int64()))]),
-                "dist": pa.concat_arrays([_lists(q, dist, n, pa.float64()), pa.array([[0.0] * k] * ne + [[0.0] * (k + 1)] * ng, pa.list_(pa.float64()))]),
-                "leaves": pa.concat_arrays([_lists(at, to, n, pa.int32()), pa.array([[]] * (ne + ng), pa.list_(pa.int32()))]),
+                "own": pa.array(np.full(n + ne, leaf), pa.int64()),
+                "qa_id": pa.array(np.concatenate([ids, ids_all[extra]]), pa.int64()),
+                "x": pa.array([p if w else None for p, w in zip(packed, probing.tolist(), strict=True)] + [None] * ne, pa.binary()),
+                "radius": pa.array(np.concatenate([radius, np.zeros(ne)]), pa.float64()),
+                "ids": pa.concat_arrays([_lists(q, found, n, pa.int64()), pa.array(ids_all[near].tolist(), pa.list_(pa.int64()))]),
+                "dist": pa.concat_arrays([_lists(q, dist, n, pa.float64()), pa.array([[0.0] * k] * ne, pa.list_(pa.float64()))]),
+                "leaves": pa.concat_arrays([_lists(at, to, n, pa.int64()), pa.array([[]] * ne, pa.list_(pa.int64()))]),
             }
         )
 
-    home, _ = written(base.groupBy("leaf").applyInArrow(at_home, "leaf int, kind tinyint, qa_id bigint, x binary, radius double, ids array<bigint>, dist array<double>, leaves array<int>"))
-    probes = home.where("kind = 0 AND x IS NOT NULL").select(F.explode("leaves").alias("leaf"), "qa_id", "x", "radius").repartition(tasks, "leaf")
+    home, _ = written(base.groupBy("leaf").applyInArrow(at_home, "own bigint, qa_id bigint, x binary, radius double, ids array<bigint>, dist array<double>, leaves array<bigint>"))
+    asked = home.where("x IS NOT NULL").select(F.explode("leaves").alias("leaf"), "own", "qa_id", "x", "radius")
+    probes = below.descend(asked, shared, "radius", "false").where("leaf <> own").select("leaf", "qa_id", "x", "radius").repartition(tasks, "leaf")
 
     def away(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"qa_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64())), "dist": pa.array([], pa.list_(pa.float64()))})
         if not left.num_rows or not right.num_rows:
             return none
+        space = shared.value
         ids, x = _distinct_rows(left, d)
         keep = _thin_copies(ids, x, k)[0]
         ids, x = ids[keep], x[keep]
         iq, xq, rq = right["qa_id"].to_numpy(), unpack(right["x"].combine_chunks(), d), right["radius"].to_numpy()
-        q, found, dist = window_search(metric, k, space.project(xq), xq, iq, rq, space.project(x), x, ids, [max_distance], projections)
+        q, found, dist = window_search(metric, k, space.project(xq), xq, iq, rq, space.project(x), x, ids, [max_distance], projections, threshold, width)
         has = np.unique(q)
         at = np.searchsorted(has, q)
         return pa.table({"qa_id": pa.array(iq[has], pa.int64()), "ids": _lists(at, found, len(has), pa.int64()), "dist": _lists(at, dist, len(has), pa.float64())})
 
     far = base.groupBy("leaf").cogroup(probes.groupBy("leaf")).applyInArrow(away, "qa_id bigint, ids array<bigint>, dist array<double>")
-    lists = home.where("kind = 0 AND size(ids) > 0").select("qa_id", "ids", "dist").unionByName(far)
+    lists = home.where("size(ids) > 0").select("qa_id", "ids", "dist").unionByName(far)
     zipped = F.transform(F.arrays_zip("dist", "ids"), lambda s: F.struct(s["dist"].alias("distance"), s["ids"].alias("neighbour")))
     merged = lists.groupBy("qa_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(zipped)))), 1, k).alias("nb"))
     direct = merged.select("qa_id", F.explode("nb").alias("n")).select("qa_id", "n.neighbour", "n.distance")
-
-    salt = 8
-    followers = placed.where("kind = 1").select("leaf", "x", "qa_id", F.pmod("qa_id", F.lit(salt)).cast("bigint").alias("salt"))
-    leaders = home.where("kind = 1").select("leaf", "x", "ids", F.explode(F.array(*(F.lit(s).cast("bigint") for s in range(salt)))).alias("salt"))
-    copies = followers.join(leaders, ["leaf", "x", "salt"]).select("qa_id", F.explode(F.slice(F.array_remove("ids", F.col("qa_id")), 1, k)).alias("neighbour"), F.lit(0.0).alias("distance"))
-    return direct.unionByName(copies).distinct()
+    return direct if copies is None else direct.unionByName(copies).distinct()
 
 
 def neighbour_pairs(found: DataFrame) -> DataFrame:
