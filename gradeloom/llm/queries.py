@@ -71,6 +71,11 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _draw(spark, sf_dir)[0]
 
 
+def p5_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps that the sample leaves in the margins of label and domain."""
+    return sampling.residuals(_draw(spark, sf_dir)[1])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids."""
     return tokens.encode(_table(spark, sf_dir, "documents"))
@@ -105,7 +110,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(_subjects(spark, sf_dir), _table(spark, sf_dir, "documents"))
 
 
-_NAMED = [p1_found, p1_closeness, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p5_found, p5_sample, p6_ids, p7_found, p7_packing, p7_fill, p8_found, p8_composition]
+_NAMED = [p1_found, p1_closeness, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p5_found, p5_sample, p5_residuals, p6_ids, p7_found, p7_packing, p7_fill, p8_found, p8_composition]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
 SQL: dict[str, str] = {}

@@ -13,14 +13,13 @@ from gradeloom.storage import written
 BITS = 10
 
 
-def rake(available: np.ndarray, target: np.ndarray, margins: list[np.ndarray], rounds: int = 500, close: float = 1e-9) -> np.ndarray:
-    """Expected draws of each cell: iterative proportional fitting of the targets to each margin in turn.
+def rake(available: np.ndarray, target: np.ndarray, margins: list[np.ndarray], rounds: int = 500, close: float = 1e-9) -> tuple[np.ndarray, bool]:
+    """Expected draws of each cell, and whether they settled: iterative proportional fitting of the targets to each margin in turn.
 
     ``margins`` give each cell's group in one margin; a group's total is the sum of its targets. Cells
     without rows get nothing and no cell more than it has, so a margin is met as far as its rows allow.
     """
     q = np.minimum(target, available).astype(float)
-    q[(available > 0) & (q <= 0)] = 0
     for _ in range(rounds):
         before = q.copy()
         for group in margins:
@@ -29,8 +28,8 @@ def rake(available: np.ndarray, target: np.ndarray, margins: list[np.ndarray], r
             factor = np.divide(want, have, out=np.ones_like(want), where=have > 0)
             q = np.minimum(q * factor[group], available)
         if np.abs(q - before).max(initial=0.0) <= close * max(1.0, q.sum()):
-            break
-    return q
+            return q, True
+    return q, False
 
 
 def repair(drawn: np.ndarray, need: np.ndarray, available: np.ndarray, size: int) -> np.ndarray:
@@ -58,8 +57,10 @@ def draw(rows: DataFrame, shares: DataFrame, every: int = 5, seed: int = 42, key
     their last, so minimums come before the size. Ties are broken by id; null labels, ids or fileids and
     other categories are never drawn; null targets count as 0.
 
-    sample: (key, label, domain_name). report: (label, domain_name, available, needed, drawn, gap), one row
-    for each category of ``shares``. ``shares`` is the table of targets and read to the driver; of the
+    sample: (key, label, domain_name). report: (label, domain_name, available, needed, target, raked, converged, drawn, gap),
+    one row for each category of ``shares``: target is its share of the sample, raked what the fitting to the
+    margins of label and domain makes of it, converged whether that settled. :func:`residuals` sums it up by
+    margin. ``shares`` is the table of targets and read to the driver; of the
     rows only counts by category and key prefix are (2^BITS for each category).
     """
     spark = rows.sparkSession
@@ -81,8 +82,14 @@ def draw(rows: DataFrame, shares: DataFrame, every: int = 5, seed: int = 42, key
     bp = np.array([r.share_bp for r in listed], np.int64)
     need = np.maximum(np.array([r.min_rows for r in listed], np.int64), -(-bp * size // 10_000))
     groups = [np.unique([str(x) for x in values], return_inverse=True)[1] for values in ([r.label for r in listed], [r.domain_name for r in listed])] if m else []
-    quota = rake(available, bp * size / 10_000, groups) if m else np.zeros(0)
-    drawn = _below_threshold(counts, available, quota, size)
+    target = bp * size / 10_000
+    quota, converged = rake(available, target, groups) if m else (np.zeros(0), True)
+    weight = np.divide(quota, available, out=np.zeros(m), where=available > 0)
+    limit = (-np.expm1(-_threshold(counts, weight, size) * weight) * 2.0**63).clip(0, 2.0**63 - 1024)
+    # The prefixes only find the threshold; what lies below it is counted row by row.
+    limits = spark.createDataFrame([(i, int(x)) for i, x in enumerate(limit)], "cell int, lim bigint")
+    below = {r.cell: r["count"] for r in placed.join(F.broadcast(limits), "cell").where("h < lim").groupBy("cell").count().collect()}
+    drawn = np.array([below.get(i, 0) for i in range(m)], np.int64)
     take = repair(drawn, need, available, size) if m else drawn
 
     # A category's smallest keys are its smallest hashes: u falls as the hash rises. Cut it at two levels of prefix, then rank the few rows left.
@@ -105,35 +112,39 @@ def draw(rows: DataFrame, shares: DataFrame, every: int = 5, seed: int = 42, key
     chosen = sure.unionByName(edge.select("id", "cell", "last", rank.alias("r")).where("r <= last").select("id", "cell"))
     sample = chosen.join(F.broadcast(cells), "cell").select(F.col("id").alias(key), "label", "domain_name")
     got = chosen.groupBy("cell").count()
-    wanted = spark.createDataFrame([(i, r.label, r.domain_name, int(available[i]), int(need[i])) for i, r in enumerate(listed)], "cell int, label int, domain_name string, available bigint, needed bigint")
-    report = wanted.join(got, "cell", "left").select("label", "domain_name", "available", "needed", F.coalesce("count", F.lit(0)).alias("drawn"))
+    wanted = spark.createDataFrame([(i, r.label, r.domain_name, int(available[i]), int(need[i]), float(target[i]), float(quota[i]), converged) for i, r in enumerate(listed)], "cell int, label int, domain_name string, available bigint, needed bigint, target double, raked double, converged boolean")
+    report = wanted.join(got, "cell", "left").select("label", "domain_name", "available", "needed", "target", "raked", "converged", F.coalesce("count", F.lit(0)).alias("drawn"))
     return sample, report.withColumn("gap", F.greatest(F.col("needed") - F.col("drawn"), F.lit(0)))
 
 
-def _below_threshold(counts: np.ndarray, available: np.ndarray, quota: np.ndarray, size: int) -> np.ndarray:
-    """Rows of each cell whose key -ln(u) / w is below the threshold that about ``size`` keys are below.
+def _threshold(counts: np.ndarray, weight: np.ndarray, size: int) -> float:
+    """The threshold t that about ``size`` keys -ln(u) / w are below, by the counts of hash prefixes.
 
     u runs from 1 down to 0 as the hash rises, so a threshold t keeps the hashes below 1 - exp(-t w).
     """
-    if not len(available) or not quota.sum():
-        return np.zeros(len(available), np.int64)
-    weight = np.divide(quota, available, out=np.zeros(len(quota)), where=available > 0)
+    if not weight.sum():
+        return 0.0
     cum = np.concatenate([np.zeros((len(counts), 1), np.int64), counts.cumsum(axis=1)], axis=1)
-    steps = counts.shape[1]
+    steps, rows = counts.shape[1], np.arange(len(counts))
 
-    def kept(t: float) -> np.ndarray:
-        at = (1 - np.exp(-t * weight)) * steps
+    def kept(t: float) -> float:
+        at = -np.expm1(-t * weight) * steps
         low = np.minimum(at.astype(int), steps - 1)
-        rows = np.arange(len(counts))
-        return np.floor(cum[rows, low] + (at - low) * counts[rows, low]).astype(np.int64)
+        return (cum[rows, low] + (at - low) * counts[rows, low]).sum()
 
     lo, hi = 0.0, 1.0
-    while kept(hi).sum() < min(size, available[weight > 0].sum()) and hi < 1e6:
+    while kept(hi) < min(size, counts[weight > 0].sum()) and hi < 1e6:
         hi *= 2
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if kept(mid).sum() < size else (lo, mid)
-    return kept(hi)
+        lo, hi = (mid, hi) if kept(mid) < size else (lo, mid)
+    return hi
+
+
+def residuals(report: DataFrame) -> DataFrame:
+    """margin, value, target, drawn, residual (drawn less target), short: the gaps left in each margin, for every label and domain."""
+    each = [report.groupBy(F.lit(m).alias("margin"), F.col(m).cast("string").alias("value")).agg(F.round(F.sum("target"), 6).alias("target"), F.sum("drawn").alias("drawn"), F.sum("gap").alias("short")) for m in ("label", "domain_name")]
+    return each[0].unionByName(each[1]).select("margin", "value", "target", "drawn", F.round(F.col("drawn") - F.col("target"), 6).alias("residual"), "short")
 
 
 def short_categories(report: DataFrame) -> DataFrame:
