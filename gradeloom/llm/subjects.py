@@ -52,20 +52,22 @@ def _decoded(word: str) -> str:
     return word
 
 
-def parts(text: str) -> list[tuple[str, bool]]:
-    """(sentence, False) and (heading, True) in the order of the text.
+def parts(text: str) -> list[tuple[str, bool, bool]]:
+    """(sentence, whether it is a heading, whether it stands alone before another paragraph) in the order of the text.
 
     A paragraph that isn't closed by a full stop is a heading unless it is longer than one line can be.
     """
-    out: list[tuple[str, bool]] = []
-    for paragraph in re.split(r"\n\s*\n", text):
+    out: list[tuple[str, bool, bool]] = []
+    paragraphs = re.split(r"\n\s*\n", text)
+    for n, paragraph in enumerate(paragraphs):
         lines = [x.strip() for x in paragraph.split("\n") if x.strip()]
         if not lines:
             continue
         sentences = [s for s in SPLIT.split(" ".join(lines)) if WORD.search(s)]
+        alone = len(sentences) == 1
         for i, s in enumerate(sentences):
             closed = bool(END.search(s.strip())) or i + 1 < len(sentences)
-            out.append((s, not closed and len(sentences) == 1 and len(WORD.findall(s)) <= 12))
+            out.append((s, not closed and alone and len(WORD.findall(s)) <= 12, alone and n + 1 < len(paragraphs)))
     return out
 
 
@@ -111,7 +113,7 @@ def fit_lexicon(examples: list[tuple[str, list[str]]], subjects: list[str], smoo
     for text, labels in examples:
         known = sorted({number[x] for x in labels or () if x in number})
         if text and known:
-            data += [(terms(s), known) for s, heading in parts(clean(text)) if not heading]
+            data += [(terms(s), known) for s, heading, _ in parts(clean(text)) if not heading]
     proper = Counter(w for found, _ in data for w, common in found if common)
     seen = Counter(w for found, _ in data for w, _ in found)
     lexicon = Lexicon(subjects, {})
@@ -177,6 +179,8 @@ def assign(documents: DataFrame, areas: DataFrame, examples: DataFrame, share: f
     the address (the subject most frequent in the folder of its fileid) and the source. The lexicon is
     fitted on at most ``max_examples`` labelled texts (smallest ids first); everything else covers all
     documents. The latent model sees only counts of vote patterns, a table bounded by the number of subjects.
+    The usual subjects of folders and sources are looked up by joins that the engine broadcasts where their measured size
+    allows, and else splits on the documents' side.
     Null, empty and subjectless texts give no row; repeats of a doc_id count once.
     """
     spark = documents.sparkSession
@@ -191,11 +195,10 @@ def assign(documents: DataFrame, areas: DataFrame, examples: DataFrame, share: f
             rows = []
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 section, seen = 0, []
-                all_parts = parts(clean(text))
-                for s, heading in all_parts:
+                for s, heading, alone in parts(clean(text)):
                     found = terms(s)
                     v = lexicon.vote(found)
-                    if heading or not v and len(found) <= HEADING_WORDS and _alone(s, text):
+                    if heading or not v and len(found) <= HEADING_WORDS and alone:
                         section = v
                     else:
                         seen.append((v, section))
@@ -230,15 +233,6 @@ def assign(documents: DataFrame, areas: DataFrame, examples: DataFrame, share: f
     return each.where(F.col("sentences") >= F.col("of_sentences") * share).join(F.broadcast(named), "z").select("doc_id", "subject", "sentences", "of_sentences")
 
 
-def _alone(sentence: str, text: str) -> bool:
-    """The sentence is a paragraph of its own."""
-    at = text.find(sentence.strip())
-    if at < 0:
-        return False
-    end = at + len(sentence.strip())
-    return (not text[:at].strip() or text[:at].rstrip(" \t").endswith("\n\n")) and text[end:].lstrip(" \t").startswith("\n\n")
-
-
 def composition(assigned: DataFrame, documents: DataFrame) -> DataFrame:
     """subject, documents, share: how many documents treat each subject, and their share of all."""
     n = documents.where("doc_id IS NOT NULL").agg(F.countDistinct("doc_id").alias("n"))

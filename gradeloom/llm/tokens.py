@@ -114,12 +114,17 @@ def assemble(enc, parts: list[tuple[int, list[int]]]) -> list[int]:
 
 
 def one_row_each(rows: DataFrame, key: str) -> DataFrame:
-    """One row for each value of ``key``, none for null; texts are shuffled only where a key does repeat."""
+    """One row for each value of ``key``, none for null: the smallest of the rows that share it, column by column.
+
+    Texts are shuffled only where a key does repeat.
+    """
     rows = rows.where(F.col(key).isNotNull())
     again = rows.groupBy(key).count().where("count > 1").select(key)
     if again.isEmpty():
         return rows
-    return rows.join(again, key, "left_anti").unionByName(rows.join(again, key, "left_semi").dropDuplicates([key]))
+    others = [c for c in rows.columns if c != key]
+    chosen = rows.join(again, key, "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("m")).select(*(F.col(key) if c == key else F.col(f"m.{c}").alias(c) for c in rows.columns))
+    return rows.join(again, key, "left_anti").unionByName(chosen)
 
 
 def encode(rows: DataFrame, key: str = "doc_id", text: str = "text", folder: str = FOLDER, vocabulary: str = VOCABULARY, count_only: bool = False, segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
