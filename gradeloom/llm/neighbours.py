@@ -45,7 +45,7 @@ def _nearest(k: int, q: np.ndarray, ids: np.ndarray, d: np.ndarray, n: int) -> t
     return q[top], ids[top], d[top]
 
 
-def window_search(metric: Metric, k: int, zq, xq, iq, rq, zb, xb, ib, levels, projections: int = 8, threshold: int | None = None, width: float = 1.0):
+def window_search(metric: Metric, k: int, zq, xq, iq, rq, zb, xb, ib, levels, projections: int = 16, threshold: int | None = None, width: float = 1.0):
     """(query, id, distance) of the at most k nearest base rows within ``rq`` of each query.
 
     The base is held in sorted arrays, one for each of the ``projections`` widest. At each level (virtual
@@ -66,9 +66,9 @@ def window_search(metric: Metric, k: int, zq, xq, iq, rq, zb, xb, ib, levels, pr
     far = max(np.abs(zb).max(), np.abs(zq).max())
     kind, wide = (np.float32, ROUNDING) if far < 1e30 else (np.float64, ROUNDING * 1e-6)
     plain = np.ascontiguousarray(zb[:, axes].T.astype(kind))
-    orders = [np.argsort(plain[p], kind="stable") for p in range(m)]
-    lines = [plain[p][o] for p, o in enumerate(orders)]
-    pq = zq[:, axes].astype(kind)
+    orders = np.argsort(plain, axis=1, kind="stable").astype(np.int32)
+    lines = np.take_along_axis(plain, orders, axis=1)
+    pq = np.ascontiguousarray(zq[:, axes].T.astype(kind))
     slack = SLACK + wide * np.abs(zq[:, axes]).max(axis=1)
     found = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))]
     todo = np.arange(n)
@@ -77,39 +77,37 @@ def window_search(metric: Metric, k: int, zq, xq, iq, rq, zb, xb, ib, levels, pr
         if not len(todo):
             break
         radius = (np.minimum(level, rq) * width + slack).astype(kind)
-        low = np.stack([np.searchsorted(lines[p], pq[todo, p] - radius[todo], "left") for p in range(m)])
-        high = np.stack([np.searchsorted(lines[p], pq[todo, p] + radius[todo], "right") for p in range(m)])
+        ball = np.square(np.minimum(level, rq) + slack).astype(kind)  # what the projections alone put further away isn't verified
+        low = np.stack([np.searchsorted(lines[p], pq[p, todo] - radius[todo], "left") for p in range(m)])
+        high = np.stack([np.searchsorted(lines[p], pq[p, todo] + radius[todo], "right") for p in range(m)])
         # A row with enough collisions can be missing from as many windows as collisions are spare, so from one array more it is taken at least once.
         chosen = np.argsort(high - low, axis=0, kind="stable")[: spare + 1]
         got = [(np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))]
-        for turn, first in ((t, p) for t in range(spare + 1) for p in np.unique(chosen[t]).tolist()):
-            mine = np.flatnonzero(chosen[turn] == first)
-            mine = mine[np.argsort(low[first, mine], kind="stable")]
-            asked, lo, hi = todo[mine], low[first, mine], high[first, mine]
-            pb, order = plain[:, orders[first]], orders[first]
-            rest = [p for p in range(m) if p != first]
+        for first in chosen:
+            lo = low[first, np.arange(len(todo))]
+            counts = high[first, np.arange(len(todo))] - lo
+            ends = counts.cumsum()
             i = 0
-            while i < len(asked):
-                j = i + 1
-                a, b = lo[i], hi[i]
-                while j < len(asked) and (j - i) < 512:
-                    a2, b2 = min(a, lo[j]), max(b, hi[j])
-                    if (b2 - a2) * (j - i + 1) > PAIRS_AT_ONCE:
-                        break
-                    a, b, j = a2, b2, j + 1
-                part = asked[i:j]
-                r = radius[part][:, None]
-                hits = (np.abs(pq[part, first][:, None] - pb[first, a:b][None]) <= r).astype(np.int8)
-                early = rest[:2]
-                for p in early:
-                    hits += np.abs(pq[part, p][:, None] - pb[p, a:b][None]) <= r
-                qi, bi = np.nonzero(hits >= 1 + len(early) - spare)
-                count = hits[qi, bi]
-                for c, p in enumerate(rest[2:], 2 + len(early)):
-                    count = count + (np.abs(pq[part[qi], p] - pb[p, a + bi]) <= radius[part[qi]])
-                    left = count >= c - spare
-                    qi, bi, count = qi[left], bi[left], count[left]
-                qi, bi = part[qi], order[bi + a]
+            while i < len(todo):
+                done = ends[i - 1] if i else 0
+                j = max(i + 1, int(np.searchsorted(ends, done + PAIRS_AT_ONCE, "right")))
+                c = counts[i:j]
+                qi = np.repeat(todo[i:j].astype(np.int32), c)
+                at = np.arange(c.sum(), dtype=np.int32) + np.repeat((lo[i:j] - (ends[i:j] - c - done)).astype(np.int32), c)
+                bi = orders[np.repeat(first[i:j].astype(np.int8), c), at] if len(np.unique(first[i:j])) > 1 else orders[first[i]][at]
+                count = np.zeros(len(qi), np.int8) if spare else None
+                part = np.zeros(len(qi), kind)
+                for p in range(m):
+                    gap = pq[p][qi] - plain[p][bi]
+                    part += gap * gap
+                    hit = np.abs(gap) <= radius[qi]
+                    if spare:
+                        count += hit
+                        hit = count >= p + 1 - spare
+                    hit &= part <= ball[qi]
+                    qi, bi, part = qi[hit], bi[hit], part[hit]
+                    if spare:
+                        count = count[hit]
                 other = ib[bi] != iq[qi]
                 qi, bi = qi[other], bi[other]
                 d = distances(metric, xq[qi], xb[bi])
@@ -167,7 +165,7 @@ def _thin_copies(ids: np.ndarray, x: np.ndarray, k: int):
 
 
 def neighbours(
-    rows: DataFrame, metric: Metric, k: int = 5, max_distance: float = 0.4, leaf_rows: int = 4096, sample_rows: int = 100_000, start: float = 0.25, projections: int = 8, threshold: int | None = None, width: float = 1.0, max_leaves: int | None = None
+    rows: DataFrame, metric: Metric, k: int = 5, max_distance: float = 0.4, leaf_rows: int = 4096, sample_rows: int = 100_000, start: float = 0.25, projections: int = 16, threshold: int | None = None, width: float = 1.0, max_leaves: int | None = None
 ) -> DataFrame:
     """qa_id, neighbour, distance: the at most ``k`` nearest other rows of the same label within ``max_distance``.
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gradeloom.llm import clusters, neighbours, packing, pairs, sampling, scans, subjects, tokens
 from gradeloom.llm.space import read_metric, usable
+from gradeloom.plans.views import DOMAIN_SQL, NAMES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with its score filled anew from its neighbours."""
     features, weights = _features(spark, sf_dir)
-    return neighbours.closeness(features, neighbours.search(features, weights))
+    each = neighbours.closeness(features, neighbours.search(features, weights))
+    return each.withColumn("score", F.round("score", 9))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +116,29 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMED = [p1_found, p1_closeness, p2_found, p2_groups, p3_found, p3_paragraphs, p4_found, p5_found, p5_sample, p5_residuals, p6_ids, p7_found, p7_packing, p7_fill, p8_found, p8_composition]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _NAMED}
 
-SQL: dict[str, str] = {}
+# The vectors of usable rows as the tables state them: the features of weight above 0, in order, with their weights and units.
+_VECTORS = f"""
+m AS (SELECT list(weight ORDER BY feature) AS w, list(unit ORDER BY feature) AS u, list(feature ORDER BY feature) AS f FROM feature_weights WHERE weight > 0),
+l AS (SELECT DISTINCT ON (qa_id) qa_id, label, [{", ".join(f"{{'f': '{c}', 'x': {c}}}" for c in NAMES)}] AS a FROM complete_generated_data_features WHERE qa_id IS NOT NULL AND label IN (0, 1, 2)),
+v AS (SELECT qa_id, label, list_transform(list_filter(a, lambda s: list_contains(f, s.f)), lambda s: s.x) AS v FROM l, m),
+r AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NOT NULL AND NOT isnan(x) AND abs(x) < 'inf'::DOUBLE)) = len(v)),
+d AS (SELECT a.qa_id, b.qa_id AS other, sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: w[i] * ((a.v[i] - b.v[i]) / u[i]) * ((a.v[i] - b.v[i]) / u[i])))) AS d FROM r a JOIN r b ON a.label = b.label AND a.qa_id <> b.qa_id, m),
+near AS (SELECT * FROM d WHERE d <= 0.4)"""
+_NEAREST = f"{_VECTORS}, nb AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY qa_id ORDER BY round(d, 12), other) <= 5)"
+_SCORED = "each AS (SELECT qa_id, count(*) AS n, -avg(round(d, 12)) AS s FROM nb GROUP BY qa_id)"
+_NEED = f"""
+WITH r AS (SELECT DISTINCT ON (qa_id) qa_id, label, {DOMAIN_SQL} AS domain_name FROM complete_generated_data WHERE qa_id IS NOT NULL AND label IN (0, 1, 2) AND fileid IS NOT NULL),
+s AS (SELECT count(*) // 5 AS s FROM r),
+h AS (SELECT label, domain_name, count(*) AS n FROM r GROUP BY ALL)
+SELECT t.label, t.domain_name FROM target_shares t LEFT JOIN h USING (label, domain_name), s WHERE coalesce(n, 0) < greatest(min_rows, (share_bp * s + 9999) // 10000)"""
+
+#: Brute force over whole tables. The other queries have none: p3, p4 and p8 read texts by rules that SQL has no words for,
+#: p6 and p7 need a tokenizer, and which rows p5_sample draws is the operator's own choice.
+SQL: dict[str, str] = {
+    "p1_found": f"WITH {_NEAREST} SELECT DISTINCT least(qa_id, other) AS qa_id_a, greatest(qa_id, other) AS qa_id_b FROM nb",
+    "p1_closeness": f"WITH {_NEAREST}, {_SCORED} SELECT qa_id, label, coalesce(n, 0) AS neighbours, round(s, 9) AS score FROM (SELECT qa_id, max(label) AS label FROM complete_generated_data_features WHERE qa_id IS NOT NULL GROUP BY qa_id) LEFT JOIN each USING (qa_id)",
+    "p2_found": f"""WITH RECURSIVE {_VECTORS}, c(id, root) USING KEY (id) AS (SELECT qa_id, qa_id FROM r UNION
+(SELECT DISTINCT ON (a.id) a.id, b.root FROM recurring.c AS a JOIN near n ON n.qa_id = a.id JOIN c AS b ON b.id = n.other WHERE b.root < a.root ORDER BY a.id, b.root))
+SELECT root AS cluster_id, id AS qa_id FROM c QUALIFY count(*) OVER (PARTITION BY root) >= 3""",
+    "p5_found": _NEED,
+}
