@@ -16,52 +16,51 @@ from gradeloom.storage import drop_table, written
 PAIRS_AT_ONCE = 1 << 20
 
 
-def _place(shared, radius: float):
-    """Each row in every leaf at most ``radius`` away, its own included.
+def _place(shared):
+    """(leaf, qa_id, x, copy_of, hot, label): each row in its own leaf.
 
     Of copies in a batch only the row of the smallest id stays; the others have neither leaf nor vector but
-    ``copy_of``, its id. Rows of a vector that may be hot stand once, in their own leaf, and are marked.
+    ``copy_of``, its id. Rows of a vector that may be hot are marked instead.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = shared.value
-        d = len(space.metric.names)
         for batch in batches:
             ids, hot = batch["qa_id"].to_numpy(), np.isin(batch["h"].to_numpy(), space.hot)
-            x, label = matrix(batch["v"], d), batch["label"].to_numpy()
-            z, packed = space.project(x), pack(x)
+            x, label = matrix(batch["v"], len(space.metric.names)), batch["label"].to_numpy()
+            packed = pack(x)
             first: dict[tuple[int, bytes], int] = {}
-            for lab, p, i in zip(label.tolist(), packed, ids.tolist(), strict=True):
-                first[lab, p] = min(i, first.get((lab, p), i))
-            lead = np.array([first[lab, p] for lab, p in zip(label.tolist(), packed, strict=True)], np.int64)
-            stays = np.flatnonzero((lead == ids) & ~hot)
-            rows, leaves = [np.zeros(0, int)], [np.zeros(0, np.int64)]
-            for lab in space.trees:
-                at = stays[label[stays] == lab]
-                r, to = space.within(lab, z[at], np.full(len(at), radius))
-                rows.append(at[r])
-                leaves.append(to)
-            rows, leaves = np.concatenate(rows), np.concatenate(leaves)
-            own = leaves == space.home(label[rows], z[rows])
-            copies, hots = np.flatnonzero((lead != ids) & ~hot), np.flatnonzero(hot)
-            n, m = len(rows), len(copies)
-            home = space.home(label[hots], z[hots])
+            keys = list(zip(label.tolist(), packed, strict=True))
+            for key, i in zip(keys, ids.tolist(), strict=True):
+                first[key] = min(i, first.get(key, i))
+            lead = np.array([first[key] for key in keys], np.int64)
+            copy = (lead != ids) & ~hot
+            leaf = pa.array(space.home(label, space.project(x)), pa.int64(), mask=copy)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*leaves.tolist(), *[None] * m, *home.tolist()], pa.int64()),
-                    pa.array(np.concatenate([ids[rows], ids[copies], ids[hots]]), pa.int64()),
-                    pa.array(np.concatenate([own, np.zeros(m, bool), np.zeros(len(hots), bool)]), pa.bool_()),
-                    pa.array([*(packed[i] for i in rows.tolist()), *[None] * m, *(packed[i] for i in hots.tolist())], pa.binary()),
-                    pa.array([*[None] * n, *lead[copies].tolist(), *[None] * len(hots)], pa.int64()),
-                    pa.array(np.arange(n + m + len(hots)) >= n + m),
-                    pa.array(np.concatenate([label[rows], label[copies], label[hots]]), pa.int32()),
-                ],
-                ["leaf", "qa_id", "own", "x", "copy_of", "hot", "label"],
+                [leaf, batch["qa_id"], pa.array(packed, pa.binary(), mask=copy), pa.array(lead, pa.int64(), mask=~copy), pa.array(hot), batch["label"]],
+                ["leaf", "qa_id", "x", "copy_of", "hot", "label"],
             )
 
     return run
 
 
+def _visits(shared, label_of: dict[int, int], radius: float):
+    """(leaf, qa_id, x, own): each row in every leaf at most ``radius`` away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = shared.value
+        for batch in batches:
+            home = batch["leaf"].to_numpy()
+            z, label = space.project(unpack(batch["x"], len(space.metric.names))), np.array([label_of[h] for h in home.tolist()])
+            for lab in np.unique(label).tolist():
+                at = np.flatnonzero(label == lab)
+                r, to = space.within(lab, z[at], np.full(len(at), radius))
+                rows = pa.array(at[r])
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), batch["qa_id"].take(rows), batch["x"].take(rows), pa.array(to == home[at[r]])], ["leaf", "qa_id", "x", "own"])
+
+    return run
+
+
 class _Sets:
     """Disjoint sets over 0..n-1 whose name is their smallest member."""
 
@@ -169,24 +168,16 @@ def clusters(rows: DataFrame, metric, radius: float = 0.4, least: int = 3, leaf_
     shared = share(spark, space)
     d, tasks = len(metric.names), spread_over(spark, space)
     label_of = space.labels()
-    found, _ = written(rows.withColumn("h", F.xxhash64("label", "v")).mapInArrow(_place(shared, radius), "leaf bigint, qa_id bigint, own boolean, x binary, copy_of bigint, hot boolean, label int"))
-    placed = found.where("leaf IS NOT NULL AND NOT hot").select("leaf", "qa_id", "x", "own")
+    found, _ = written(rows.withColumn("h", F.xxhash64("label", "v")).mapInArrow(_place(shared), "leaf bigint, qa_id bigint, x binary, copy_of bigint, hot boolean, label int"))
+    placed = found.where("leaf IS NOT NULL AND NOT hot").select("leaf", "qa_id", "x")
     copies = found.where("copy_of IS NOT NULL").select("qa_id", F.col("copy_of").alias("of"), "label")
     if len(space.hot):
         alike = found.where("hot")
         leads, _ = written(alike.groupBy("leaf", "x").agg(F.min("qa_id").alias("of")))  # at most sample_rows / HOT_IN_SAMPLE vectors
-
-        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            space = shared.value
-            for batch in batches:
-                home, z = batch["leaf"].to_pylist(), space.project(unpack(batch["x"], d))
-                out = [(to, i, to == h, b) for n, (h, i, b) in enumerate(zip(home, batch["of"].to_pylist(), batch["x"].to_pylist(), strict=True)) for to in space.within(label_of[h], z[n : n + 1], np.full(1, radius))[1].tolist()]
-                columns = list(zip(*out, strict=True)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], ["leaf", "qa_id", "own", "x"])
-
-        placed = placed.unionByName(leads.mapInArrow(spread, "leaf bigint, qa_id bigint, own boolean, x binary").select("leaf", "qa_id", "x", "own"))
+        placed = placed.unionByName(leads.select("leaf", F.col("of").alias("qa_id"), "x"))
     below = refine(placed, space, shared, written)
-    dealt = below.descend(placed.withColumn("r", F.lit(float(radius))), shared, "r", "own").select("leaf", "qa_id", "home", "x").repartition(tasks, "leaf")
+    visits = placed.mapInArrow(_visits(shared, label_of, radius), "leaf bigint, qa_id bigint, x binary, own boolean").withColumn("r", F.lit(float(radius)))
+    dealt = below.descend(visits, shared, "r", "own").select("leaf", "qa_id", "home", "x").repartition(tasks, "leaf")
 
     def link(table: pa.Table) -> pa.Table:
         space = shared.value
