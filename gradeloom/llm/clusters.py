@@ -218,13 +218,11 @@ def describe(found: DataFrame, rows: DataFrame, metric, radius: float = 0.4, typ
     cells = rows.join(found.select("qa_id", "cluster_id"), "qa_id").select("qa_id", "cluster_id", "label", cell.alias("cell")).distinct()
     counted = cells.groupBy("cluster_id", "label", "cell").agg(F.count("*").alias("n"), F.min("qa_id").alias("first"))
     best = counted.groupBy("cluster_id", "label").agg(F.sum("n").alias("members"), F.max(F.struct("n", -F.col("first"), "cell")).alias("b"))
-    # The k smallest ids of a cell by k passes of min, each with a map-side combine, so that no cell is gathered in one task.
     inside = cells.join(best.select("cluster_id", F.col("b.cell").alias("cell")), ["cluster_id", "cell"])
-    out, left = best.select("cluster_id", "label", "members", F.col("b.n").alias("densest_cell"), F.array(-F.col("b.col2")).alias("typical")), inside
-    for _ in range(typical - 1):
-        left = left.join(out.select("cluster_id", "typical"), "cluster_id").where(F.col("qa_id") > F.element_at("typical", -1)).drop("typical")
-        out = out.join(left.groupBy("cluster_id").agg(F.min("qa_id").alias("next")), "cluster_id", "left").withColumn("typical", F.when(F.col("next").isNull(), F.col("typical")).otherwise(F.concat("typical", F.array("next")))).drop("next")
-    return out
+    # Each task keeps the first of a group before they meet, so no cell is gathered in one.
+    first = inside.withColumn("r", F.expr("row_number() OVER (PARTITION BY cluster_id ORDER BY qa_id)")).where(F.col("r") <= typical)
+    members = first.groupBy("cluster_id").agg(F.array_sort(F.collect_list("qa_id")).alias("typical"))
+    return best.select("cluster_id", "label", "members", F.col("b.n").alias("densest_cell")).join(members, "cluster_id")
 
 
 def group(features: DataFrame, weights: DataFrame, **options) -> DataFrame:

@@ -125,6 +125,9 @@ r AS (SELECT * FROM v WHERE len(list_filter(v, lambda x: x IS NOT NULL AND NOT i
 d AS (SELECT a.qa_id, b.qa_id AS other, sqrt(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: w[i] * ((a.v[i] - b.v[i]) / u[i]) * ((a.v[i] - b.v[i]) / u[i])))) AS d FROM r a JOIN r b ON a.label = b.label AND a.qa_id <> b.qa_id, m),
 near AS (SELECT * FROM d WHERE d <= 0.4)"""
 _NEAREST = f"{_VECTORS}, nb AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY qa_id ORDER BY round(d, 12), other) <= 5)"
+_GROUPS = f"""WITH RECURSIVE {_VECTORS}, c(id, root) USING KEY (id) AS (SELECT qa_id, qa_id FROM r UNION
+(SELECT DISTINCT ON (a.id) a.id, b.root FROM recurring.c AS a JOIN near n ON n.qa_id = a.id JOIN c AS b ON b.id = n.other WHERE b.root < a.root ORDER BY a.id, b.root)),
+g AS (SELECT root AS cluster_id, id AS qa_id FROM c QUALIFY count(*) OVER (PARTITION BY root) >= 3)"""
 _SCORED = "each AS (SELECT qa_id, count(*) AS n, -avg(round(d, 12)) AS s FROM nb GROUP BY qa_id)"
 _NEED = f"""
 WITH r AS (SELECT DISTINCT ON (qa_id) qa_id, label, {DOMAIN_SQL} AS domain_name FROM complete_generated_data WHERE qa_id IS NOT NULL AND label IN (0, 1, 2) AND fileid IS NOT NULL),
@@ -137,8 +140,10 @@ SELECT t.label, t.domain_name FROM target_shares t LEFT JOIN h USING (label, dom
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_NEAREST} SELECT DISTINCT least(qa_id, other) AS qa_id_a, greatest(qa_id, other) AS qa_id_b FROM nb",
     "p1_closeness": f"WITH {_NEAREST}, {_SCORED} SELECT qa_id, label, coalesce(n, 0) AS neighbours, round(s, 9) AS score FROM (SELECT qa_id, max(label) AS label FROM complete_generated_data_features WHERE qa_id IS NOT NULL GROUP BY qa_id) LEFT JOIN each USING (qa_id)",
-    "p2_found": f"""WITH RECURSIVE {_VECTORS}, c(id, root) USING KEY (id) AS (SELECT qa_id, qa_id FROM r UNION
-(SELECT DISTINCT ON (a.id) a.id, b.root FROM recurring.c AS a JOIN near n ON n.qa_id = a.id JOIN c AS b ON b.id = n.other WHERE b.root < a.root ORDER BY a.id, b.root))
-SELECT root AS cluster_id, id AS qa_id FROM c QUALIFY count(*) OVER (PARTITION BY root) >= 3""",
+    "p2_found": f"{_GROUPS} SELECT cluster_id, qa_id FROM g",
+    "p2_groups": f"""{_GROUPS},
+x AS (SELECT cluster_id, label, qa_id, list_transform(range(1, len(v) + 1), lambda i: floor(v[i] * (sqrt(w[i]) / u[i]) / 0.4)) AS cell FROM g JOIN r USING (qa_id), m),
+y AS (SELECT cluster_id, label, cell, count(*) AS n, min(qa_id) AS first, list(qa_id ORDER BY qa_id)[1:3] AS typical FROM x GROUP BY ALL)
+SELECT cluster_id, label, sum(n)::BIGINT AS members, max(n) AS densest_cell, arg_max(typical, (n, -first)) AS typical FROM y GROUP BY cluster_id, label""",
     "p5_found": _NEED,
 }
