@@ -195,9 +195,13 @@ def votes(tokens: list[str]) -> dict[str, float]:
     """Votes of the function words for each language; a word of several languages is shared between them."""
     out = dict.fromkeys(FUNCTION_WORDS, 0.0)
     for t in tokens:
-        for w in (t, *t.split("'")) if "'" in t else (t,):
-            for lang, v in _VOTES.get(w, {}).items():
+        if t in _VOTES:
+            for lang, v in _VOTES[t].items():
                 out[lang] += v
+        if "'" in t:
+            for w in t.split("'"):
+                for lang, v in _VOTES.get(w, {}).items():
+                    out[lang] += v
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 from itertools import combinations
 
 import pyarrow as pa
@@ -33,6 +34,12 @@ LETTER = re.compile(r"[^\W\d_]")
 BINDING = {w for each in FUNCTION_WORDS.values() for w in each if not w.isdigit()} - {"not", "no", "it", "them", "out", "how", "why"}
 
 
+def broken(line: str) -> re.Match | None:
+    """The match of a word divided at the end of a line."""
+    line = line.rstrip()
+    return BROKEN.search(line) if line and line[-1] in HYPHENS else None
+
+
 def bare(token: str) -> str:
     """A token in lower case without adjoining punctuation."""
     return EDGE.sub("", token).lower().replace("’", "'")
@@ -58,7 +65,7 @@ class Page:
         before = None
         for i in self._natural():
             body = self.lines[i].strip()
-            cut = BROKEN.search(body)
+            cut = broken(body)
             own = carry if before is not None and not any(self.kind[j] == "blank" for j in range(before, i)) else 0
             indent = len(self.lines[i]) - len(self.lines[i].lstrip()) if len(self.lines[i]) - len(self.lines[i].lstrip()) <= 4 else 0
             length[i] = indent + own + len(body) - (len(cut.group(0)) + 1 if cut else 0)
@@ -102,7 +109,7 @@ class Page:
                     continue
                 follows = natural[n + 1] if n + 1 < len(natural) else None
                 slack = width - length[i] - 1 - (first[follows] if follows is not None else 0)
-                split = n > 0 and BROKEN.search(lines[natural[n - 1]].strip()) and body[:1].isupper()
+                split = n > 0 and broken(lines[natural[n - 1]]) and body[:1].isupper()
                 caps = self._capitals(body)
                 if not caps and self._sentence(body, lines[natural[n - 1]].strip() if n else "", lines[follows].strip() if follows is not None else ""):
                     continue
@@ -124,9 +131,9 @@ class Page:
         before = next((j for j in range(i - 1, -1, -1) if self.kind[j] not in ("header", "pageno")), None)
         if before is None or self.kind[before] == "blank" or CLOSED.search(self.lines[before].strip()):
             return False
-        if not body[0].isdigit() and BROKEN.search(self.lines[before].strip()) is None and not body.endswith("."):
+        if not body[0].isdigit() and broken(self.lines[before]) is None and not body.endswith("."):
             return False
-        if BROKEN.search(self.lines[before].strip()):
+        if broken(self.lines[before]):
             return not body[0].isdigit() and body.endswith(".")
         after = i + 1
         while after < len(self.lines) and self.kind[after] in ("header", "pageno"):
@@ -183,7 +190,7 @@ class Page:
                     joins = words and words[0][:1].isalpha() and (words[0][:1].islower() or not left[:1].islower() and left.isupper())
                     found[-1] = (left, sign, words.pop(0)) if joins else (left + sign, "", "")
                 found += [(w, "", "") for w in words]
-                cut = BROKEN.search(self.lines[i].rstrip())
+                cut = broken(self.lines[i])
                 if cut and words and self.wrapped and words[-1][-1:] in HYPHENS:
                     found[-1] = (words[-1][:-1], "?", words[-1][-1])
             if found and found[-1][1] == "?":
@@ -212,12 +219,19 @@ MOST, RATIO, ENOUGH = 2, 8, 4
 LEAD = re.compile(r"^[^\w†!|$@]*([!|$@](?=[^\W\d_])\S*)$")
 
 
+@lru_cache(1 << 16)
 def read(token: str) -> str:
     """:func:`bare`, but a sign that stands for a first letter stays: "!t" may be "it"."""
     m = LEAD.match(token)
     return m.group(1)[0] + bare(m.group(1)[1:]) if m else bare(token)
 
 
+@lru_cache(1 << 16)
+def lettered(word: str) -> bool:
+    """The word has a letter."""
+    return LETTER.search(word) is not None
+
+
 def anagram(word: str) -> int:
     """A number that is the same for words of the same letters, and adds up over them; 64 bits with sign."""
     return _signed(sum(ord(x) ** 5 for x in word))
@@ -281,7 +295,7 @@ def lines_and_words(contexts: DataFrame) -> DataFrame:
                 for run in page.tokens():
                     for left, sign, right in run:
                         word = read(left + right)
-                        if LETTER.search(word):
+                        if lettered(word):
                             found["hyphen" if sign else "word", word, read(left + "-" + right) if sign else None] += 1
                             plain.append(word)
                 english = language(plain) in ("en", None)
