@@ -145,13 +145,14 @@ def fit_lexicon(examples: list[tuple[str, list[str]]], subjects: list[str], smoo
     return lexicon
 
 
-def latent(patterns: np.ndarray, counts: np.ndarray, classes: int, rounds: int = 25, smooth: float = 1.0, belief: float = 50.0) -> np.ndarray:
+def latent(patterns: np.ndarray, counts: np.ndarray, classes: int, rounds: int = 25, smooth: float = 1.0, belief: float = 50.0, trust: float = 0.95) -> np.ndarray:
     """Posterior of the latent class of each vote pattern, the functions' accuracies being learned from their agreement.
 
     ``patterns`` has a column for each labelling function (0: it abstains); class 0 is no subject. Each function
     has a confusion table of its own; expectation and maximisation take turns from the first function's votes.
-    ``belief`` is how many votes of each class count beforehand: right ones of the first function, evenly spread ones
-    of the others. It decides only where there are hardly any sentences.
+    The first function, which is fitted on labelled texts, is right with at least the share ``trust`` of its
+    votes, whatever the others say together. For the others ``belief`` votes of each class count beforehand, as frequent as they are in all classes
+    together; they decide only where there are hardly any sentences.
     """
     n, f = patterns.shape
     post = np.full((n, classes), 0.02 / max(classes - 1, 1))
@@ -161,9 +162,15 @@ def latent(patterns: np.ndarray, counts: np.ndarray, classes: int, rounds: int =
         prior = (mass.sum(axis=0) + smooth) / (mass.sum() + smooth * classes)
         log = np.tile(np.log(prior), (n, 1))
         for j in range(f):
-            table = np.full((classes, classes), (smooth + (belief if j else 0.0)) / classes) + (0.0 if j else belief) * np.eye(classes)
+            if j:
+                often = np.bincount(patterns[:, j], weights=counts, minlength=classes) / counts.sum()
+                table = np.tile((smooth + belief) * often, (classes, 1)) + 1e-9
+            else:
+                table = np.full((classes, classes), smooth / classes)
             np.add.at(table.T, patterns[:, j], mass)
             table /= table.sum(axis=1, keepdims=True)
+            if not j:  # where it doesn't abstain
+                table[1:, 1:] = trust * np.diag(table[1:, 1:].sum(axis=1)) + (1 - trust) * table[1:, 1:]
             log += np.log(table[:, patterns[:, j]]).T
         fresh = np.exp(log - log.max(axis=1, keepdims=True))
         fresh /= fresh.sum(axis=1, keepdims=True)

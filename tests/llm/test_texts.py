@@ -185,3 +185,16 @@ def test_subjects(spark):
 def test_parts_know_headings_and_lone_sentences():
     got = subjects.parts("The Law\n\nThe judge spoke. The court rose.\n\nAll was well.\n\nEnd of it all.")
     assert got == [("The Law", True, True), ("The judge spoke.", False, False), ("The court rose.", False, False), ("All was well.", False, True), ("End of it all.", False, False)]
+
+
+def test_held_out_examples(spark):
+    """Fitted on every other labelled text, the subjects of the rest are found."""
+    examples = spark.read.parquet("/root/testdata/sf0.001/subject_examples.parquet")
+    areas = spark.read.parquet("/root/testdata/sf0.001/subject_areas.parquet")
+    rest = examples.where("example_id % 2 = 1")
+    docs = rest.select(F.col("example_id").alias("doc_id"), "text", F.lit("s").alias("source"), F.lit("devset/a/x.txt").alias("fileid"))
+    got = {(r.doc_id, r.subject) for r in subjects.assign(docs, areas, examples.where("example_id % 2 = 0")).collect()}
+    want = {(r.example_id, s) for r in rest.collect() for s in r.subjects}
+    recall, precision = len(got & want) / len(want), len(got & want) / len(got)
+    print("held out:", len(want), len(got), len(got & want))
+    assert recall >= 0.95 and precision >= 0.95
