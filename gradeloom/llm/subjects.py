@@ -87,11 +87,11 @@ class Lexicon:
     def __init__(self, subjects: list[str], weights: dict[str, dict[int, float]], margin: float = 0.7):
         self.subjects, self.weights, self.margin = subjects, weights, margin
 
-    def vote(self, found: list[tuple[str, bool]]) -> int:
+    def vote(self, words: set[str]) -> int:
         """1 + the number of the subject that the words speak for; 0 if they don't."""
         score: dict[int, float] = defaultdict(float)
-        for w in {w for w, _ in found}:
-            for s, v in self.weights.get(w, {}).items():
+        for w in sorted(words & self.weights.keys()):
+            for s, v in self.weights[w].items():
                 score[s] += v
         if not score:
             return 0
@@ -124,7 +124,7 @@ def fit_lexicon(examples: list[tuple[str, list[str]]], subjects: list[str], smoo
             if len(known) > 1:
                 if not step:
                     continue
-                vote = lexicon.vote(found) - 1
+                vote = lexicon.vote({w for w, _ in found}) - 1
                 if vote not in known:
                     continue
                 known = [vote]
@@ -205,8 +205,8 @@ def assign(documents: DataFrame, areas: DataFrame, examples: DataFrame, share: f
             for key, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 section, seen = 0, []
                 for s, heading, alone in parts(clean(text)):
-                    found = terms(s)
-                    v = lexicon.vote(found)
+                    found = WORD.findall(s)
+                    v = lexicon.vote(set(map(str.lower, found)))
                     if heading or not v and len(found) <= HEADING_WORDS and alone:
                         section = v
                     else:
