@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeloom.llm.pairs import FUNCTION_WORDS, language
+from gradeloom.llm.pairs import FUNCTION_WORDS
 from gradeloom.llm.tokens import one_row_each
 from gradeloom.storage import task_count, written
 
@@ -201,7 +201,7 @@ class Page:
 
 #: What scanning makes of letters: the sign as read and what it should be. Signs that no word has by itself.
 SIGNS = [
-    ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"),
+    ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("9", "q"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"),
     ("†", "t"), ("!", "i"), ("!", "l"), ("|", "l"), ("|", "i"), ("$", "s"), ("@", "a"), ("€", "e"), ("ı", "i"), ("ſ", "s"),
 ]
 #: Letters read as other letters.
@@ -210,7 +210,7 @@ LETTERS = [
     ("u", "n"), ("n", "u"), ("h", "b"), ("b", "h"), ("l", "i"), ("i", "l"), ("f", "s"), ("f", "t"), ("t", "f"), ("o", "c"), ("c", "o"), ("m", "rn"), ("d", "cl"), ("h", "li"),
     *((x, unicodedata.normalize("NFD", x)[0]) for x in "ãåāēìīòõōūýčšž"),
 ]
-#: Letters of French, Spanish and German that an English page doesn't have.
+#: Letters read with an accent that the word hasn't.
 ACCENTS = [(x, unicodedata.normalize("NFD", x)[0]) for x in "áàâäéèêëíîïóôöúùûüÿñç"]
 CONFUSIONS = SIGNS + LETTERS + ACCENTS
 SIGN_CHARS = frozenset(a for a, _ in SIGNS)
@@ -280,7 +280,7 @@ def replaced(word: str, right: str) -> tuple[int, int, int] | None:
 
 
 def lines_and_words(contexts: DataFrame) -> DataFrame:
-    """context_id, kind, item, hyphened, n, english, clean (no printed page): headings, page numbers, words with their number, divided words."""
+    """context_id, kind, item, hyphened, n, clean (no printed page): headings, page numbers, words with their number, divided words."""
 
     def run(batches):
         for batch in batches:
@@ -288,7 +288,6 @@ def lines_and_words(contexts: DataFrame) -> DataFrame:
             for key, text in zip(batch["context_id"].to_pylist(), batch["context"].to_pylist(), strict=True):
                 page = Page(text)
                 found: Counter = Counter()
-                plain: list[str] = []
                 for i, kind in enumerate(page.kind):
                     if kind in ("header", "pageno"):
                         found[kind, page.lines[i].strip(), None] += 1
@@ -297,19 +296,17 @@ def lines_and_words(contexts: DataFrame) -> DataFrame:
                         word = read(left + right)
                         if lettered(word):
                             found["hyphen" if sign else "word", word, read(left + "-" + right) if sign else None] += 1
-                            plain.append(word)
-                english = language(plain) in ("en", None)
-                out += [(key, *k, n, english, not page.wrapped) for k, n in found.items()]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["context_id", "kind", "item", "hyphened", "n", "english", "clean"])
+                out += [(key, *k, n, not page.wrapped) for k, n in found.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["context_id", "kind", "item", "hyphened", "n", "clean"])
 
     rows = one_row_each(contexts.select(F.col("context_id").cast("bigint").alias("context_id"), "context"), "context_id").where("context IS NOT NULL")
-    return rows.mapInArrow(run, "context_id bigint, kind string, item string, hyphened string, n bigint, english boolean, clean boolean")
+    return rows.mapInArrow(run, "context_id bigint, kind string, item string, hyphened string, n bigint, clean boolean")
 
 
 def corrections(found: DataFrame) -> DataFrame:
-    """word, right_word, accents: the best reading of each misread word of the corpus.
+    """word, right_word: the best reading of each misread word of the corpus.
 
     A word of which a tenth or more stands in texts that aren't printed pages is a right one. A word is rare beside another if the other is there at least RATIO times as often (with signs that words
     don't have: at least as often). Rare words meet these where the difference of their anagram numbers is
@@ -336,34 +333,34 @@ def corrections(found: DataFrame) -> DataFrame:
             for w, n, r, m in zip(*(batch[c].to_pylist() for c in ("word", "n", "right_word", "right_n")), strict=True):
                 cost = replaced(w, r)
                 if cost and sum(cost) and (not cost[1] and not cost[2] or m >= RATIO * n):
-                    rows.append((w, r, m, sum(cost) + cost[1], cost[2]))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "right_word", "right_n", "cost", "accents"])
+                    rows.append((w, r, m, sum(cost) + cost[1]))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["word", "right_word", "right_n", "cost"])
 
     strange = "[" + "".join(re.escape(x) for x in sorted(SIGN_CHARS)) + "]"
     frequent = counts.where((F.col("n") >= 1) & ~F.col("word").rlike(strange)).select("word", "n").mapInArrow(numbers, "right_word string, right_n bigint, number bigint")
     suspect = counts.where((F.length("word").between(2, 40)) & ((F.col("clean") == 0) | (F.col("clean") * 10 < F.col("n"))))
     rare = suspect.select("word", "n").repartition(task_count(found.sparkSession)).mapInArrow(reach, "word string, n bigint, number bigint")
     met = rare.join(frequent, "number").where((F.col("right_n") >= F.col("n")) & (F.col("word").rlike(strange) | (F.col("right_n") >= F.greatest(F.col("n") * RATIO, F.lit(ENOUGH)))))
-    judged = met.select("word", "n", "right_word", "right_n").distinct().mapInArrow(judge, "word string, right_word string, right_n bigint, cost int, accents int")
+    judged = met.select("word", "n", "right_word", "right_n").distinct().mapInArrow(judge, "word string, right_word string, right_n bigint, cost int")
     rank = F.expr("row_number() OVER (PARTITION BY word ORDER BY cost, right_n DESC, right_word)")
-    best, _ = written(judged.withColumn("r", rank).where("r = 1").select("word", "right_word", "accents"))
+    best, _ = written(judged.withColumn("r", rank).where("r = 1").select("word", "right_word"))
     # One sign amid at least four letters is misread even where the corpus has the right word nowhere else.
     first = dict(reversed(SIGNS))
     letters, signs = F.regexp_replace("word", r"[^\p{L}]", ""), F.regexp_replace("word", strange.replace("[", "[^", 1), "")
     alone = suspect.where((F.length(letters) >= 4) & (F.length(signs) == 1)).join(best, "word", "left_anti")
-    return best.unionByName(alone.select("word", F.translate("word", "".join(first), "".join(first.values())).alias("right_word"), F.lit(0).alias("accents")))
+    return best.unionByName(alone.select("word", F.translate("word", "".join(first), "".join(first.values())).alias("right_word")))
 
 
 def _evidence(found: DataFrame) -> DataFrame:
     """context_id, joined, as_read: each divided word as it reads, with its hyphen only if the corpus has it so more often."""
     counts = found.where("kind = 'word'").groupBy("item").agg(F.sum("n").alias("n"))
-    cut = found.where("kind = 'hyphen'").select("context_id", "english", F.col("item").alias("joined"), "hyphened")
+    cut = found.where("kind = 'hyphen'").select("context_id", F.col("item").alias("joined"), "hyphened")
     for column in ("joined", "hyphened"):
         cut = cut.join(counts.select(F.col("item").alias(column), F.col("n").alias(f"{column}_n")), column, "left")
     more = F.coalesce("hyphened_n", F.lit(0)) > F.coalesce("joined_n", F.lit(0))
-    return cut.select("context_id", "english", "joined", F.when(more, F.col("hyphened")).otherwise(F.col("joined")).alias("as_read"))
+    return cut.select("context_id", "joined", F.when(more, F.col("hyphened")).otherwise(F.col("joined")).alias("as_read"))
 
 
 def _solved(contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -371,10 +368,9 @@ def _solved(contexts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found, _ = written(lines_and_words(contexts))
     fixed, _ = written(corrections(found))
     divided = _evidence(found)
-    allowed = "accents = 0 OR english"
-    both = found.where("kind = 'word'").select("context_id", "english", F.col("item").alias("word")).unionByName(divided.select("context_id", "english", F.col("as_read").alias("word")))
-    misread, _ = written(both.join(fixed, "word").where(allowed).select("context_id", "word", "right_word").distinct())
-    whole = divided.join(fixed.withColumnRenamed("word", "as_read"), "as_read", "left").select("context_id", "joined", F.when(F.expr(allowed), F.col("right_word")).alias("right_word"), "as_read")
+    both = found.where("kind = 'word'").select("context_id", F.col("item").alias("word")).unionByName(divided.select("context_id", F.col("as_read").alias("word")))
+    misread, _ = written(both.join(fixed, "word").select("context_id", "word", "right_word").distinct())
+    whole = divided.join(fixed.withColumnRenamed("word", "as_read"), "as_read", "left").select("context_id", "joined", "right_word", "as_read")
     return found, misread, whole.select("context_id", "joined", F.coalesce("right_word", "as_read").alias("whole"))
 
 
