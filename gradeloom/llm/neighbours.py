@@ -266,7 +266,7 @@ def closeness(features: DataFrame, found: DataFrame) -> DataFrame:
 
     One row per qa_id; rows that aren't usable or have no neighbour get 0 neighbours and a null score.
     """
-    each = found.groupBy("qa_id").agg(F.count("*").alias("neighbours"), (-F.avg("distance")).alias("score"))
+    each = found.groupBy("qa_id").agg(F.count("*").alias("neighbours"), (F.lit(0.0) - F.avg("distance")).alias("score"))
     rows = features.where("qa_id IS NOT NULL").groupBy("qa_id").agg(F.max("label").alias("label"))
     return rows.join(each, "qa_id", "left").select("qa_id", "label", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "score")
 

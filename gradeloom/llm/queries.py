@@ -128,7 +128,7 @@ _NEAREST = f"{_VECTORS}, nb AS (SELECT * FROM near QUALIFY row_number() OVER (PA
 _GROUPS = f"""WITH RECURSIVE {_VECTORS}, c(id, root) USING KEY (id) AS (SELECT qa_id, qa_id FROM r UNION
 (SELECT DISTINCT ON (a.id) a.id, b.root FROM recurring.c AS a JOIN near n ON n.qa_id = a.id JOIN c AS b ON b.id = n.other WHERE b.root < a.root ORDER BY a.id, b.root)),
 g AS (SELECT root AS cluster_id, id AS qa_id FROM c QUALIFY count(*) OVER (PARTITION BY root) >= 3)"""
-_SCORED = "each AS (SELECT qa_id, count(*) AS n, -avg(round(d, 12)) AS s FROM nb GROUP BY qa_id)"
+_SCORED = "each AS (SELECT qa_id, count(*) AS n, 0 - avg(round(d, 12)) AS s FROM nb GROUP BY qa_id)"
 _NEED = f"""
 WITH r AS (SELECT DISTINCT ON (qa_id) qa_id, label, {DOMAIN_SQL} AS domain_name FROM complete_generated_data WHERE qa_id IS NOT NULL AND label IN (0, 1, 2) AND fileid IS NOT NULL),
 s AS (SELECT count(*) // 5 AS s FROM r),

@@ -30,6 +30,7 @@ CLOSED = re.compile(r"[.!?…][\"”’»')\]]*$")
 TOKEN = re.compile(r"\S+")
 EDGE = re.compile(r"^[^\w†]+|[^\w†]+$")
 LETTER = re.compile(r"[^\W\d_]")
+TITLE_WORDS = {"the", "of", "for", "and", "its", "a", "an", "in", "from", "to", "on", "at"}
 #: Words that a heading doesn't end with.
 BINDING = {w for each in FUNCTION_WORDS.values() for w in each if not w.isdigit()} - {"not", "no", "it", "them", "out", "how", "why"}
 
@@ -107,6 +108,9 @@ class Page:
                 beside = any(0 <= j < len(lines) and kind[j] == "pageno" for j in (i - 1, i + 1))
                 if after and not beside:
                     continue
+                if beside and self._named(body):
+                    kind[i] = "header"
+                    continue
                 follows = natural[n + 1] if n + 1 < len(natural) else None
                 slack = width - length[i] - 1 - (first[follows] if follows is not None else 0)
                 split = n > 0 and broken(lines[natural[n - 1]]) and body[:1].isupper()
@@ -157,6 +161,12 @@ class Page:
         goes_on = (not before or CLOSED.search(before)) and follows[:1].islower()
         return bool(goes_on) and sum(x.strip() == body for x in self.lines) < 2
 
+    @staticmethod
+    def _named(body: str) -> bool:
+        """Two capitalised words or more, and small words that titles have between them."""
+        words = body.split()
+        return "," not in body and words[-1][:1].isupper() and sum(w[:1].isupper() for w in words) >= 2 and all(w[:1].isupper() or w in TITLE_WORDS for w in words)
+
     @staticmethod
     def _capitals(body: str) -> bool:
         letters = LETTER.findall(body)
