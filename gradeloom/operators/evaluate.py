@@ -69,7 +69,7 @@ def truncated(runs: DataFrame) -> DataFrame:
 def numbered(runs: DataFrame) -> DataFrame:
     """Runs with ``i``, the place of a run in its arm; a table of as many rows as runs numbers them."""
     names = runs.select("arm", "run").distinct().withColumn("i", F.expr("row_number() OVER (PARTITION BY arm ORDER BY run) - 1"))
-    return runs.join(F.broadcast(names), ["arm", "run"])
+    return runs.join(names, ["arm", "run"])
 
 
 def paired(runs: DataFrame, sub: str = "sub", non: str = "non", shuffle: bool = False, seed: int = 43) -> DataFrame:

@@ -61,7 +61,7 @@ def percentile_matrix(rows: DataFrame, by: list[str], x: str, y: str, probs: lis
     """
     clean = rows.select(*by, F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double")).alias("x"), F.nanvl(F.col(y).cast("double"), F.lit(None).cast("double")).alias("y")).where("x IS NOT NULL")
     cuts = percentiles(clean.select(*by, "x"), by, sorted(probs)).select(*by, F.posexplode("p").alias("i", "cut"))
-    below = clean.join(F.broadcast(cuts), by).where("x <= cut").select(*by, "i", F.col("y"))  # a row for each group and percentile
+    below = clean.join(cuts if by else F.broadcast(cuts), by or None).where("x <= cut").select(*by, "i", F.col("y"))  # a row for each group and percentile
     got = percentiles(below, [*by, "i"], sorted(probs), value="y").select(*by, "i", F.posexplode("p").alias("j", "v"))
     name = lambda c: F.element_at(F.array(*(F.lit(p) for p in sorted(probs))), F.col(c) + 1)
     return got.select(*by, name("i").alias("px"), name("j").alias("py"), "v")
@@ -71,7 +71,7 @@ def minmax(rows: DataFrame, columns: list[str], by: list[str] | None = None) ->
     """Rows with each column scaled to 0..1 by its range in the group; a constant column gives 0, null stays null."""
     by = by or []
     ranges = rows.groupBy(*by).agg(*(f(F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double"))).alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
-    both = rows.join(F.broadcast(ranges), by) if by else rows.join(F.broadcast(ranges))  # a row for each group
+    both = rows.join(ranges, by) if by else rows.join(F.broadcast(ranges))  # without groups one row
     scaled = {c: F.when(F.col(f"__hi_{c}") > F.col(f"__lo_{c}"), (F.col(f"`{c}`") - F.col(f"__lo_{c}")) / (F.col(f"__hi_{c}") - F.col(f"__lo_{c}"))).when(F.col(f"`{c}`").isNotNull(), 0.0) for c in columns}
     return both.withColumns(scaled).drop(*(f"__{n}_{c}" for c in columns for n in ("lo", "hi")))
 

@@ -52,7 +52,7 @@ def read_runs(spark: SparkSession, arms: dict[str, str]) -> DataFrame:
         name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
         files = spark.read.text(folder, wholetext=True).select(name.alias("file"), F.from_json("value", "array<double>").alias("a"))
         run = files.select("file").withColumn("run", F.expr("row_number() OVER (ORDER BY file) - 1"))
-        each = files.join(F.broadcast(run), "file").select(F.lit(arm).alias("arm"), "run", F.posexplode("a").alias("pos", "acc"))
+        each = files.join(run, "file").select(F.lit(arm).alias("arm"), "run", F.posexplode("a").alias("pos", "acc"))
         out = each if out is None else out.unionByName(each)
     if out is None:
         raise ValueError("no arms")
