@@ -30,9 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan of fewer partitions than there are cores, such as one small file, dealt over the cores by its key.
+
+    Text functions cost far more than that shuffle; larger scans stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """complete_generated_data with an id; repeats of a row are still there."""
-    return table(spark, sf_dir, "complete_generated_data").where("qa_id IS NOT NULL")
+    return spread(table(spark, sf_dir, "complete_generated_data").where("qa_id IS NOT NULL"), "qa_id")
 
 
 QA = "(SELECT DISTINCT ON (qa_id) * FROM complete_generated_data WHERE qa_id IS NOT NULL)"
